@@ -84,7 +84,7 @@ notes AS (
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each page as a note with wikilinks for its links, and a stub note for every link word
-    that two or more pages use; words of one page stay broken links."""
+    that four or more pages use; links to rarer words stay broken."""
     pages = table(spark, folder, "pages").select(
         "page_id",
         F.regexp_extract("url", r"^https?://[^/]*\.([a-z]+)(?:[/:?#]|$)", 1).alias("project"),
@@ -100,7 +100,7 @@ def page_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     used = pages.select("page_id", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("word"))
     stubs = (
-        used.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+        used.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
         .select(
             _text("concepts/", F.col("word"), ".md").alias("path"),
             _text("# ", F.col("word"), "\n\nStub.\n").alias("raw_content"),
@@ -118,7 +118,7 @@ page_targets AS (
   SELECT page_id, project, unnest(words) AS target FROM page_words),
 stubs AS (
   SELECT lower(target) AS word FROM page_targets
-  GROUP BY 1 HAVING count(DISTINCT page_id) >= 2),
+  GROUP BY 1 HAVING count(DISTINCT page_id) >= 4),
 graph_nodes AS (
   SELECT 'page-' || page_id AS stem, project || '/page-' || page_id || '.md' AS path, project,
     'Page ' || page_id AS title FROM page_words
@@ -253,3 +253,28 @@ facts AS (
     WHERE n.subject = s.subject AND n.predicate = s.predicate AND n.seq > s.seq
       AND n.object <> s.object) AS closed
   FROM stated s)"""
+
+
+# ------------------------------------------------------------------ line items as tasks
+
+
+def task_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer as a status note: one marker per thousand of debt, an open section that is
+    empty when there is none, and a last section that is always empty."""
+    customers = table(spark, folder, "customer")
+    c = F.col
+    debt = F.greatest(F.lit(0), F.ceil(-c("c_acctbal") / 100)).cast("int")
+    return customers.select(
+        _text("status/customer-", c("c_custkey"), ".md").alias("path"),
+        _text(
+            "# Customer ", c("c_custkey"), "\n\nAt work.\n\n## Open\n\n",
+            F.repeat(F.lit("- TODO collect\n"), debt), "\n## Later\n",
+        ).alias("raw_content"),
+    )
+
+
+TASK_NOTES = """
+task_notes AS (
+  SELECT 'status/customer-' || c_custkey || '.md' AS path,
+    CAST(greatest(0, ceil(-c_acctbal / 100)) AS BIGINT) AS n
+  FROM customer)"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notespark.plans import reports_search
+from notespark.plans import reports_facts, reports_graph, reports_search
 
-MODULES = [reports_search]
+MODULES = [reports_search, reports_graph, reports_facts]
 
 
 def queries() -> dict:

@@ -67,30 +67,42 @@ def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
     return out
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    value: Column,
-    out: str,
+    values: dict[str, Column],
     cuts: Sequence | None = None,
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the key's rows before this one.
-
-    ``order`` must be unique within a key.
-    """
+    """Add columns: for each ``out: value`` the sum of ``value`` over the key's rows before
+    this one.  ``order`` must be unique within a key."""
     on = [*keys, "_range"]
-    rows = _ranged(df, order, cuts).withColumn("_v", value)
+    outs = list(values)
+    rows = _ranged(df, order, cuts)
+    for out in outs:
+        rows = rows.withColumn(f"_v_{out}", values[out])
     before = W.partitionBy(*on).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_local", F.coalesce(F.sum("_v").over(before), F.lit(0)))
-    totals = rows.groupBy(*on).agg(F.sum("_v").alias("_total"))
+    for out in outs:
+        rows = rows.withColumn(f"_l_{out}", F.coalesce(F.sum(f"_v_{out}").over(before), F.lit(0)))
+    totals = rows.groupBy(*on).agg(*[F.sum(f"_v_{out}").alias(f"_t_{out}") for out in outs])
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(*on, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carry"))
-    return (
-        _join_carry(rows, carry, keys)
-        .withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0)))
-        .drop("_range", "_v", "_local", "_carry")
-    )
+    carry = totals.select(*on, *[F.sum(f"_t_{out}").over(earlier).alias(f"_c_{out}") for out in outs])
+    joined = _join_carry(rows, carry, keys)
+    for out in outs:
+        joined = joined.withColumn(out, F.col(f"_l_{out}") + F.coalesce(f"_c_{out}", F.lit(0)))
+    return joined.drop("_range", *[f"_{k}_{out}" for k in "vlc" for out in outs])
+
+
+def running_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    out: str,
+    cuts: Sequence | None = None,
+) -> DataFrame:
+    """:func:`running_sums` of one value."""
+    return running_sums(df, keys, order, {out: value}, cuts)
 
 
 def previous_value(

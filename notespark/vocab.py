@@ -50,9 +50,9 @@ DECAY_LAMBDA = 0.005
 # --------------------------------------------------------------------------- lint
 # Lint settings.
 STALE_DAYS = 90
-TODO_MARKER = r"(?i)(?:TODO|FIXME|HACK|XXX|WIP)\b"
+TODO_MARKER = r"(?iU)(?:TODO|FIXME|HACK|XXX|WIP)\b"
 CONCEPT_MENTION = (
-    r"(?i)\b(Supabase|ChromaDB|Flutter|Next\.js|Firebase|Vercel|Docker|Redis|PostgreSQL"
+    r"(?iU)\b(Supabase|ChromaDB|Flutter|Next\.js|Firebase|Vercel|Docker|Redis|PostgreSQL"
     r"|OpenAI|Claude|Stripe|Telegram|FastAPI|SQLite|Prisma|Turso|LibSQL"
     r"|BM25|RRF|MMR|RAG|MCP|GraphQL|REST API|WebSocket|OAuth|JWT"
     r"|React|TypeScript|Python|Dart|SwiftUI)\b"
