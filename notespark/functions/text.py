@@ -23,6 +23,11 @@ def find_all(c: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
 
 
+def rest(items: Column, drop: int | Column = 1) -> Column:
+    """An array without its first items."""
+    return F.slice(items, F.lit(1) + drop, F.greatest(F.size(items), F.lit(0)))
+
+
 def lines(c: Column | str) -> Column:
     return F.split(col(c), "\n")
 
@@ -156,16 +161,14 @@ def summary_line(content: Column | str, length: int = 80) -> Column:
 
 def section_text(content: Column | str, heading: str, keep: int = 3) -> Column:
     """First lines under a level two or three heading, quotes left out, joined by spaces."""
-    name = re.escape(heading.lower())
-    body = F.regexp_extract(
-        F.concat(F.lit("\n"), col(content)),
-        r"(?id)\n[^\S\n]*###? " + name + r"[^\n]*((?:\n(?!##)[^\n]*)*)", 1,
-    )
+    starts = r"(?i)^[^\S\n]*###? " + re.escape(heading.lower())
+    parts = F.split(col(content), r"\n(?=[^\S\n]*##)")
+    body = F.get(F.filter(parts, lambda p: p.rlike(starts)), F.lit(0))
     kept = F.filter(
-        F.transform(lines(body), lambda s: F.trim(s)),
+        F.transform(rest(lines(body)), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.startswith(">"),
     )
-    return F.array_join(F.slice(kept, 1, keep), " ")
+    return F.coalesce(F.array_join(F.slice(kept, 1, keep), " "), F.lit(""))
 
 
 def type_rank(note_type: Column | str, ranks: dict[str, int]) -> Column:

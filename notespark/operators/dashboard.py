@@ -10,16 +10,20 @@ from notespark.functions import text as tx
 from notespark.scale import top_per_key
 from notespark.sources import vault
 
+QUESTIONS = ["what's next", "what to do"]
 STATUSES = ["active", "paused", "done", "idea"]
 
 
 def whats_next(content: Column | str, top: int = 3) -> Column:
     """First list items after a line that asks what is next, up to the next heading."""
-    section = F.regexp_extract(
-        F.concat(F.lit("\n"), tx.col(content)),
-        r"(?is)\n[^\n]*(?:what's next|what to do)[^\n]*((?:\n(?![^\S\n]*#)[^\n]*)*)", 1,
-    )
-    items = F.filter(F.transform(tx.lines(section), tx.strip), lambda s: s.rlike(r"^[0-9-]"))
+    all_lines = tx.lines(content)
+    asks = F.transform(all_lines, lambda s: tx.contains_any(F.lower(s), QUESTIONS))
+    at = F.array_position(asks, F.lit(True)).cast("int")
+    rest = F.when(at > 0, tx.rest(all_lines, at)).otherwise(F.slice(all_lines, 1, 0))
+    rest = F.transform(rest, tx.strip)
+    stop = F.array_position(F.transform(rest, lambda s: s.startswith("#")), F.lit(True)).cast("int")
+    section = F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest)
+    items = F.filter(section, lambda s: s.rlike(r"^[0-9-]"))
     clean = F.transform(items, lambda s: F.trim(F.regexp_replace(s, r"^[0-9.\-) ]+", "")))
     return F.slice(F.filter(clean, lambda s: s != ""), 1, top)
 

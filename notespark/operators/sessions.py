@@ -44,10 +44,10 @@ def issue_key(text: Column) -> Column:
 
 def issues(notes: DataFrame, text: str = "content") -> DataFrame:
     """One row per issue: the bullets below a failure header, up to the next heading."""
-    after = F.slice(F.split(tx.col(text), vocab.FAILURE_HEADER), 2, 2**31 - 1)
+    after = tx.rest(F.split(tx.col(text), vocab.FAILURE_HEADER))
     bodies = F.transform(after, lambda s: F.split_part(s, F.lit("\n##"), F.lit(1)))
     # what follows the header's own words on its line is not an issue
-    lines = F.flatten(F.transform(bodies, lambda b: F.slice(F.split(b, "\n"), 2, 2**31 - 1)))
+    lines = F.flatten(F.transform(bodies, lambda b: tx.rest(F.split(b, "\n"))))
     clean = F.transform(
         F.filter(F.transform(lines, tx.strip), lambda s: (s != "") & ~s.startswith("#")),
         lambda s: tx.strip(F.regexp_replace(s, r"^[-*•]\s*", "")),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notespark import vocab
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table; spread over the cores when it comes in fewer splits than there are.
@@ -43,6 +45,14 @@ def _sql_mapped(column: str, mapping: dict, other: str) -> str:
     return f"CASE {column} {cases} ELSE '{other}' END"
 
 
+def _sql_rules(column: str, rules: list, other: str) -> str:
+    cases = " ".join(
+        "WHEN " + " OR ".join(f"contains({column}, '{w}')" for w in words) + f" THEN '{label}'"
+        for label, words in rules
+    )
+    return f"CASE {cases} ELSE '{other}' END"
+
+
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each document as a note of its source's project."""
     d = table(spark, folder, "documents")
@@ -84,7 +94,7 @@ notes AS (
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each page as a note with wikilinks for its links, and a stub note for every link word
-    that four or more pages use; links to rarer words stay broken."""
+    that six or more pages use; links to rarer words stay broken."""
     pages = table(spark, folder, "pages").select(
         "page_id",
         F.regexp_extract("url", r"^https?://[^/]*\.([a-z]+)(?:[/:?#]|$)", 1).alias("project"),
@@ -100,7 +110,7 @@ def page_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     used = pages.select("page_id", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("word"))
     stubs = (
-        used.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+        used.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 6")
         .select(
             _text("concepts/", F.col("word"), ".md").alias("path"),
             _text("# ", F.col("word"), "\n\nStub.\n").alias("raw_content"),
@@ -118,7 +128,7 @@ page_targets AS (
   SELECT page_id, project, unnest(words) AS target FROM page_words),
 stubs AS (
   SELECT lower(target) AS word FROM page_targets
-  GROUP BY 1 HAVING count(DISTINCT page_id) >= 4),
+  GROUP BY 1 HAVING count(DISTINCT page_id) >= 6),
 graph_nodes AS (
   SELECT 'page-' || page_id AS stem, project || '/page-' || page_id || '.md' AS path, project,
     'Page ' || page_id AS title FROM page_words
@@ -206,15 +216,23 @@ def session_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SESSION_ISSUES = f"""
-issue_lines AS (
-  SELECT 'conv-' || conv_id AS project, 'Session ' || turn AS title,
+issue_lists AS (
+  SELECT 'conv-' || conv_id AS project, 'Session ' || turn AS session,
     'conv-' || conv_id || '/session-' || turn || '.md' AS path,
-    unnest(list_prepend({_sql_mapped('role', CAUSES, 'Trouble')} || ' in turn ' || turn
-      || ', workaround: retry ' || role, string_split(text, chr(10)))) AS line
+    list_prepend({_sql_mapped('role', CAUSES, 'Trouble')} || ' in turn ' || turn
+      || ', workaround: retry ' || role, string_split(text, chr(10))) AS lines
   FROM conversations),
+issue_lines AS (
+  SELECT project, session, path, generate_subscripts(lines, 1) AS line,
+    trim(unnest(lines)) AS issue_text FROM issue_lists),
 issues AS (
-  SELECT project, title, path, trim(regexp_replace(trim(line), '^[-*•]\\s*', '')) AS issue_text
-  FROM issue_lines WHERE length(trim(regexp_replace(trim(line), '^[-*•]\\s*', ''))) >= 10)"""
+  SELECT *, trim(regexp_extract(issue_text, '(?i)(?:workaround|fix(?:ed)?|solution|resolved|switched '
+      || 'to|replaced with|instead of)\\s*[:—–-]?\\s*(.+)', 1)) AS workaround,
+    {{category}} AS category,
+    substr(trim(regexp_replace(regexp_replace(issue_text, '[a-f0-9]{{{{7,}}}}', '<hash>', 'g'),
+      '\\s+', ' ', 'g')), 1, 80) AS pattern
+  FROM issue_lines WHERE length(issue_text) >= 10)""".replace("{category}", _sql_rules(
+    "lower(issue_text)", vocab.ISSUE_CATEGORIES, vocab.OTHER_CATEGORY)).replace("{{", "{").replace("}}", "}")
 
 
 # --------------------------------------------------------------------- events as facts
@@ -278,3 +296,191 @@ task_notes AS (
   SELECT 'status/customer-' || c_custkey || '.md' AS path,
     CAST(greatest(0, ceil(-c_acctbal / 100)) AS BIGINT) AS n
   FROM customer)"""
+
+
+# ------------------------------------------------------------------- events as captures
+
+KIND_OF_EVENT = {
+    "click": "idea", "view": "link", "signup": "decision-link", "purchase": "idea", "error": "memo",
+}
+KNOWN_PROJECTS = ["Faithly", "darshan", "botseller", "Client8", "user-7", "my app", "research", "ai"]
+
+
+def captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event as a captured message of its user: a spec, mentions, a tie, a link or a stub."""
+    e = table(spark, folder, "events")
+    c = F.col
+    text = (
+        F.when(c("event_type") == "click", _text("Project: Client", c("user_id"), " wants Flutter soon"))
+        .when(c("event_type") == "view",
+              _text("see https://example.com/", c("event_id"), " botseller, Botseller or darshan"))
+        .when(c("event_type") == "signup", F.lit("faithly and darshan, but not darshan-two"))
+        .when(c("event_type") == "purchase",
+              _text("user-", c("user_id"), " likes my app and [[Topic ", c("user_id"), "]]"))
+        .otherwise(F.lit("ok"))
+    )
+    return e.select("event_id", "user_id", "event_type", text.alias("text"))
+
+
+def capture_files(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col
+    kind = _mapped(c("event_type"), KIND_OF_EVENT, "memo")
+    return captures(spark, folder).select(
+        _text("inbox/", kind, "-", c("event_id"), ".md").alias("path"),
+        _text("# Note ", c("event_id"), "\n\n", c("text"), "\n").alias("raw_content"),
+    )
+
+
+CAPTURES = f"""
+captures AS (
+  SELECT event_id, user_id, event_type,
+    'inbox/' || {_sql_mapped('event_type', KIND_OF_EVENT, 'memo')} || '-' || event_id || '.md' AS path,
+    CASE event_type WHEN 'click' THEN 'Project: Client' || user_id || ' wants Flutter soon'
+      WHEN 'view' THEN 'see https://example.com/' || event_id || ' botseller, Botseller or darshan'
+      WHEN 'signup' THEN 'faithly and darshan, but not darshan-two'
+      WHEN 'purchase' THEN 'user-' || user_id || ' likes my app and [[Topic ' || user_id || ']]'
+      ELSE 'ok' END AS text
+  FROM events)"""
+
+
+# ------------------------------------------------------------------ events as snapshots
+
+
+def snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event as a session snapshot of its user's project."""
+    e = table(spark, folder, "events")
+    none = F.array().cast("array<string>")
+    return e.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
+        _text("user-", F.col("user_id")).alias("project"),
+        _text(F.col("event_type"), " of ", F.col("value")).alias("summary"), none.alias("files_changed"),
+        F.lit("").alias("git_status"), F.col("event_type").alias("git_branch"),
+        F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit("c"), i.cast("string"))).alias("recent_commits"),
+        F.array(F.col("props")).alias("uncommitted_changes"), none.alias("active_decisions"),
+        none.alias("blockers"), F.array(F.col("event_type")).alias("next_steps"),
+    )
+
+
+SNAPSHOTS = """
+snapshots AS (
+  SELECT 'user-' || user_id AS project, ts, event_type, event_id FROM events)"""
+
+
+# ----------------------------------------------------------------- events as file events
+
+CHANGE_OF_EVENT = {"signup": "created", "error": "deleted"}
+
+
+def file_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event as a change of its user's note; views touch a generated file."""
+    e = table(spark, folder, "events")
+    name = F.when(F.col("event_type") == "view", F.lit("index")).otherwise(
+        _text("user-", F.col("user_id")))
+    return e.select(
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("notes/"), name, F.lit(".md")).alias("path"),
+        _mapped(F.col("event_type"), CHANGE_OF_EVENT, "modified").alias("event_type"),
+    )
+
+
+FILE_EVENTS = f"""
+file_events AS (
+  SELECT event_id AS seq, ts, 'notes/user-' || user_id || '.md' AS path,
+    {_sql_mapped('event_type', CHANGE_OF_EVENT, 'modified')} AS event_type
+  FROM events WHERE event_type <> 'view'),
+gaps AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 120 SECOND THEN 0 ELSE 1 END AS fresh
+  FROM file_events WINDOW w AS (ORDER BY ts, seq)),
+placed AS (
+  SELECT *, CAST(sum(fresh) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS period
+  FROM gaps)"""
+
+
+# --------------------------------------------------------------------- parts as sources
+
+EXT_OF_SIZE = [".py", ".ts", ".dart", ".js"]
+DIR_OF_TYPE = {
+    "ECONOMY": "app/api", "PROMO": "src/models", "LARGE": "lib/helper", "SMALL": "tests",
+    "MEDIUM": "src/widget", "STANDARD": "src",
+}
+
+
+def code_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part as a source file that imports two other parts and a library."""
+    p = table(spark, folder, "part")
+    c = F.col
+    ext = F.element_at(F.array(*[F.lit(x) for x in EXT_OF_SIZE]), (c("p_size") % 4 + 1).cast("int"))
+    a, b = _text("mod_", c("p_partkey") + 1), _text("mod_", c("p_partkey") + 7)
+    body = (
+        F.when(ext == ".py", _text("import os\nfrom pkg.", a, " import thing\nimport ", b, "\n\n@app.get('/item/",
+                                   c("p_partkey"), "')\ndef f():\n    return 'stripe'\n"))
+        .when(ext == ".dart", _text("import 'package:flutter/ui.dart';\nimport '", a, "/x.dart';\nimport 'dart:io';\n"))
+        .otherwise(_text("import { x } from './", a, "'\nconst y = require('", b, "/fp')\n"))
+    )
+    return p.select(
+        _text("size-", c("p_size") % 5).alias("project"),
+        _text(_mapped(c("p_type"), DIR_OF_TYPE, "src"), "/mod_", c("p_partkey"), ext).alias("path"),
+        body.alias("raw_content"),
+    )
+
+
+CODE_FILES = f"""
+code_files AS (
+  SELECT p_partkey, 'size-' || (p_size % 5) AS project, p_type,
+    ['.py', '.ts', '.dart', '.js'][p_size % 4 + 1] AS ext,
+    {_sql_mapped('p_type', DIR_OF_TYPE, 'src')} || '/mod_' || p_partkey
+      || ['.py', '.ts', '.dart', '.js'][p_size % 4 + 1] AS path, 'mod_' || p_partkey AS name
+  FROM part),
+code_imports AS (
+  SELECT project, path, unnest(CASE ext
+    WHEN '.py' THEN ['os', 'pkg', 'mod_' || (p_partkey + 1), 'mod_' || (p_partkey + 7)]
+    WHEN '.dart' THEN ['flutter', 'mod_' || (p_partkey + 1)]
+    ELSE ['mod_' || (p_partkey + 1), 'mod_' || (p_partkey + 7)] END) AS name
+  FROM code_files)"""
+
+
+# ------------------------------------------------------- documents as files of a project
+
+PLACE_OF_LANG = {"en": "src/doc", "fr": "tests/doc", "de": "main.py/doc", "es": "dist/doc"}
+
+
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a file of its source's project; Spanish ones lie in a build folder."""
+    d = table(spark, folder, "documents")
+    return d.select(
+        F.col("source").alias("project"),
+        _text(_mapped(F.col("lang"), PLACE_OF_LANG, "doc"), "-", F.col("doc_id"), ".txt").alias("path"),
+        F.col("text").alias("raw_content"),
+    )
+
+
+# -------------------------------------------------------------- customers as project cards
+
+STATUS_OF_SEGMENT = {
+    "AUTOMOBILE": "active", "BUILDING": "mvp", "FURNITURE": "paused", "HOUSEHOLD": "idea",
+    "MACHINERY": "done",
+}
+
+
+def product_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer as a project with a product note."""
+    customers = table(spark, folder, "customer")
+    nations = spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", "n_name")
+    c = F.col
+    status = _mapped(c("c_mktsegment"), STATUS_OF_SEGMENT, "unknown")
+    return customers.join(F.broadcast(nations), c("c_nationkey") == c("n_nationkey")).select(
+        _text("customer-", c("c_custkey"), "/prd.md").alias("path"),
+        _text(
+            "---\ntitle: ", c("c_name"), "\nstatus: ", status, "\nstack: [Spark, ", c("n_name"),
+            "]\ndescription: a ", F.lower("c_mktsegment"), " project\n---\n\n# Plan\n\n## What's next\n\n1. Call ",
+            c("c_name"), "\n- then wait\nnot a list line\n\n## Later\n- rest\n",
+        ).alias("raw_content"),
+    )
+
+
+PRODUCTS = f"""
+cards AS (
+  SELECT 'customer-' || c_custkey AS id, c_name AS title, n_name,
+    {_sql_mapped('c_mktsegment', STATUS_OF_SEGMENT, 'unknown')} AS status,
+    'a ' || lower(c_mktsegment) || ' project' AS description
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""

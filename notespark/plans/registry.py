@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from notespark.plans import reports_facts, reports_graph, reports_search
+from notespark.plans import (
+    reports_facts,
+    reports_feeds,
+    reports_graph,
+    reports_search,
+    reports_sessions,
+)
 
-MODULES = [reports_search, reports_graph, reports_facts]
+MODULES = [reports_search, reports_graph, reports_facts, reports_sessions, reports_feeds]
 
 
 def queries() -> dict:

@@ -54,7 +54,7 @@ def bfs_khop(spark, folder):
 
 def shortest_path(spark, folder):
     _, _, edges = _graph(spark, folder)
-    return links.shortest_path(edges, "page-1", "page-9")
+    return links.shortest_path(edges, "page-2", "page-106")
 
 
 def components(spark, folder):
@@ -184,10 +184,10 @@ ORACLE = {
               THEN '←' END) END AS direction
         FROM near JOIN graph_nodes ON stem = near.node""",
     "shortest_path": f"""WITH RECURSIVE {corpus.PAGE_LINKS}, {_BOTH},
-        {_DISTANCE.format(start='page-9', depth=8)},
+        {_DISTANCE.format(start='page-106', depth=8)},
         near AS (SELECT node, min(d) AS d FROM dist GROUP BY node),
         path(step, node, d) AS (
-          SELECT 0, node, d FROM near WHERE node = 'page-1'
+          SELECT 0, node, d FROM near WHERE node = 'page-2'
           UNION ALL
           SELECT step + 1, (SELECT min(n.node) FROM sym s JOIN near n ON n.node = s.b
             WHERE s.a = path.node AND n.d = path.d - 1), d - 1

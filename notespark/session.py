@@ -40,6 +40,7 @@ def local_spark(cores: int = 8, app: str = "notespark-local") -> SparkSession:
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
             "spark.driver.bindAddress": "127.0.0.1",
+            "spark.driver.host": "127.0.0.1",
         },
     )
 
