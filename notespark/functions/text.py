@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notespark import vocab
@@ -14,6 +15,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that they are computed once per row.
+
+    Spark inlines a projected expression wherever it is used, in pushed filters too, and so may
+    parse a text many times; it never moves an expression across a generator.
+    """
+    values = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Remove white space, newlines included, from both ends."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")
@@ -65,7 +81,7 @@ def title(body: Column | str, path: Column | str) -> Column:
     """First level-one heading, else the file name in title case."""
     heading = F.regexp_extract(col(body), r"(?md)^[^\S\n]*# [^\S\n]*(\S.*?)[^\S\n]*$", 1)
     fallback = F.initcap(F.regexp_replace(stem(path), "[-_]", " "))
-    return F.when(heading != "", heading).otherwise(fallback)
+    return F.coalesce(F.nullif(heading, F.lit("")), fallback)
 
 
 def inline_tags(body: Column | str) -> Column:
@@ -151,12 +167,13 @@ def summary_line(content: Column | str, length: int = 80) -> Column:
         F.transform(lines(content), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.rlike(r"^(#|---|>|- \*\*|\| )"),
     )
-    first = F.get(prose, F.lit(0))
-    head = F.substring(first, 1, length)
-    cut = F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit("…"))
-    return F.coalesce(
-        F.when(F.length(first) > length, cut).otherwise(head), F.lit(vocab.NO_SUMMARY)
-    )
+
+    def shown(first: Column) -> Column:
+        head = F.substring(first, 1, length)
+        cut = F.concat(F.regexp_replace(head, r" [^ ]*\z", ""), F.lit("…"))
+        return F.when(F.length(first) > length, cut).otherwise(head)
+
+    return F.coalesce(let(F.get(prose, F.lit(0)), shown), F.lit(vocab.NO_SUMMARY))
 
 
 def section_text(content: Column | str, heading: str, keep: int = 3) -> Column:
@@ -165,7 +182,7 @@ def section_text(content: Column | str, heading: str, keep: int = 3) -> Column:
     parts = F.split(col(content), r"\n(?=[^\S\n]*##)")
     body = F.get(F.filter(parts, lambda p: p.rlike(starts)), F.lit(0))
     kept = F.filter(
-        F.transform(rest(lines(body)), lambda s: F.trim(s)),
+        F.transform(let(lines(body), lambda x: rest(x)), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.startswith(">"),
     )
     return F.coalesce(F.array_join(F.slice(kept, 1, keep), " "), F.lit(""))
@@ -187,10 +204,14 @@ def contains_any(c: Column | str, words: list[str]) -> Column:
 
 def first_rule(c: Column | str, rules: list[tuple[str, list[str]]], other: str) -> Column:
     """Label of the first rule with a keyword inside the text."""
-    out = F.when(F.lit(False), F.lit(other))
-    for label, words in rules:
-        out = out.when(contains_any(c, words), F.lit(label))
-    return out.otherwise(F.lit(other))
+
+    def pick(text: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(other))
+        for label, words in rules:
+            out = out.when(contains_any(text, words), F.lit(label))
+        return out.otherwise(F.lit(other))
+
+    return let(col(c), pick)
 
 
 def estimated_tokens(c: Column | str) -> Column:
@@ -224,8 +245,12 @@ def page_text(html: Column | str, max_chars: int | None = vocab.PAGE_CHARS) -> C
     out = strip(out)
     if max_chars is None:
         return out
-    cut = F.concat(F.substring(out, 1, max_chars), F.lit(vocab.PAGE_CUT_MARK))
-    return F.when(F.length(out) > max_chars, cut).otherwise(out)
+    return let(
+        out,
+        lambda t: F.when(
+            F.length(t) > max_chars, F.concat(F.substring(t, 1, max_chars), F.lit(vocab.PAGE_CUT_MARK))
+        ).otherwise(t),
+    )
 
 
 def readme_summary(readme: Column | str, length: int = 500) -> Column:

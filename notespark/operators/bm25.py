@@ -29,8 +29,19 @@ def _idf(n: Column | float, df: Column | float):
     return math.log(n - df + 0.5) - math.log(df + 0.5)
 
 
-def _count_of(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda token: token == term))
+def _profile(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """Add each document's length ``_len`` and its count ``_tf<i>`` of every term, reading and
+    splitting the text once."""
+
+    def counts(tokens: Column) -> Column:
+        def of(term: str) -> Column:
+            return F.size(F.filter(tokens, lambda token: token == term))
+
+        return F.struct(
+            F.size(tokens).alias("_len"), *[of(t).alias(f"_tf{i}") for i, t in enumerate(terms)]
+        )
+
+    return docs.select("*", F.inline(F.transform(F.array(tx.tokens(text)), counts)))
 
 
 def _weight(tf: Column, length: Column, average: Column | float, p: BM25) -> Column:
@@ -66,21 +77,21 @@ def score_scan(docs: DataFrame, query: str, text: str = "text", p: BM25 = BM25()
     frequency of each query term); with them as constants, scoring is one narrow pass.
     """
     counts = Counter(tx.query_tokens(query))
-    tokens = docs.withColumn("_t", tx.tokens(text))
     terms = sorted(counts)
-    stats = tokens.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.size("_t")).alias("len"),
-        *[F.count_if(F.array_contains("_t", t)).alias(f"df{i}") for i, t in enumerate(terms)],
+    profiled = _profile(docs, text, terms)
+    stats = _profile(docs.select(text), text, terms).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_len").alias("len"),
+        *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
     ).first()
     df = {t: stats[f"df{i}"] for i, t in enumerate(terms)}
     idf = _term_weights(docs, counts, stats["n"], df, text, p)
     score = F.lit(0.0)
-    for term in terms:
+    for i, term in enumerate(terms):
         if term in idf:
-            weight = _weight(_count_of("_t", term), F.size("_t"), stats["len"], p)
+            weight = _weight(F.col(f"_tf{i}"), F.col("_len"), stats["len"], p)
             score = score + F.lit(counts[term] * idf[term]) * weight
-    return tokens.withColumn("score", score).where("score > 0").drop("_t")
+    scored = profiled.withColumn("score", score).where("score > 0")
+    return scored.drop("_len", *[f"_tf{i}" for i in range(len(terms))])
 
 
 def search(
@@ -110,7 +121,7 @@ def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Counting is per document, inside the row, so no term is ever gathered in one place.
     """
-    tokens = docs.select(key, tx.tokens(text).alias("_t"))
+    tokens = tx.once(docs.select(key, text), _t=tx.tokens(text))
     return (
         tokens.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
         .groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))

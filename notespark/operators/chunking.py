@@ -73,7 +73,7 @@ def chunk_notes(
         F.lit("[Project: "), "project", F.lit("] ["), "note_type", F.lit("] "), "title",
         F.lit("\n\n"),
     )
-    parts = notes.withColumn("_s", sections(F.col("content"))).withColumn("_p", prefix)
+    parts = tx.once(notes, _s=sections(F.col("content")), _p=prefix)
     texts = F.transform("_s", lambda s: F.concat(F.col("_p"), s["text"]))
     cut = parts.withColumn("_c", _cutter(size, overlap)(texts))
     flat = F.flatten(

@@ -117,7 +117,7 @@ def missing_concepts(
 
 
 def todo_markers(notes: DataFrame) -> DataFrame:
-    counted = notes.withColumn("_n", F.regexp_count("content", F.lit(vocab.TODO_MARKER)))
+    counted = tx.once(notes, _n=F.regexp_count("content", F.lit(vocab.TODO_MARKER)))
     return _issues(
         counted.where("_n > 0"), "warning", "empty_section", "path",
         F.concat(F.lit("Contains "), F.col("_n").cast("string"), F.lit(" TODO/FIXME markers")),
@@ -127,7 +127,7 @@ def todo_markers(notes: DataFrame) -> DataFrame:
 
 def empty_sections(notes: DataFrame) -> DataFrame:
     """Headings with nothing but blank lines, or another heading, in the four lines below."""
-    lines = tx.lines("content")
+    lines = F.col("_lines")
 
     def checked(line: Column, at: Column) -> Column:
         below = F.transform(F.slice(lines, at + 2, 4), lambda s: F.trim(s))
@@ -136,7 +136,8 @@ def empty_sections(notes: DataFrame) -> DataFrame:
         return F.when(empty, F.trim(F.regexp_replace(line, "^#+", "")))
 
     headings = F.filter(F.transform(lines, checked), lambda h: h.isNotNull() & (h != ""))
-    found = notes.select("path", F.explode(headings).alias("heading"))
+    split = tx.once(notes.select("path", "content"), _lines=tx.lines("content"))
+    found = split.select("path", F.explode(headings).alias("heading"))
     return _issues(
         found, "info", "empty_section", "path",
         F.concat(F.lit('Empty section: "'), "heading", F.lit('"')),

@@ -38,15 +38,18 @@ def priority(path: Column | str) -> Column:
 
 def shortened(content: Column, keep: int) -> Column:
     """First two thirds and last third of the lines to keep, with a mark of what is left out."""
-    lines = F.split(content, "\n")
     head = keep * 2 // 3
     tail = keep - head
-    cut = F.concat(
-        F.array_join(F.slice(lines, 1, head), "\n"), F.lit("\n\n... ["),
-        (F.size(lines) - keep).cast("string"), F.lit(" lines omitted] ...\n\n"),
-        F.array_join(F.slice(lines, -tail, tail), "\n"),
-    )
-    return F.when(F.size(lines) <= keep, content).otherwise(cut)
+
+    def cut(lines: Column) -> Column:
+        kept = F.concat(
+            F.array_join(F.slice(lines, 1, head), "\n"), F.lit("\n\n... ["),
+            (F.size(lines) - keep).cast("string"), F.lit(" lines omitted] ...\n\n"),
+            F.array_join(F.slice(lines, -tail, tail), "\n"),
+        )
+        return F.when(F.size(lines) <= keep, content).otherwise(kept)
+
+    return tx.let(F.split(content, "\n"), cut)
 
 
 def prepared(files: DataFrame, mode: str = "compact") -> DataFrame:

@@ -67,23 +67,37 @@ def repo_score(description, topics, language) -> Column:
     Points per topic for up to three of its keywords found anywhere in description and topics,
     for a language in use and for the protocol in use; added in hundredths, so exact.
     """
-    text = F.concat_ws(" ", F.coalesce(F.lower(tx.col(description)), F.lit("")),
-                       F.concat_ws(" ", tx.col(topics)))
     p = vocab.REPO_POINTS
+    found = tx.let(
+        _repo_text(description, topics),
+        lambda text: F.struct(
+            *[_matches(text, words).alias(topic) for topic, words in vocab.REPO_TOPICS.items()],
+            tx.contains_any(text, vocab.REPO_MCP_MARKS).alias("_mark"),
+        ),
+    )
+    return tx.let(found, lambda f: _points(f, tx.col(language), p))
+
+
+def _repo_text(description, topics) -> Column:
+    return F.concat_ws(" ", F.coalesce(F.lower(tx.col(description)), F.lit("")),
+                       F.concat_ws(" ", tx.col(topics)))
+
+
+def _points(matched: Column, language: Column, p: dict) -> Column:
     hundredths = F.lit(0)
     reasons = []
-    for topic, words in vocab.REPO_TOPICS.items():
-        found = _matches(text, words)
+    for topic in vocab.REPO_TOPICS:
+        found = matched[topic]
         hundredths = hundredths + F.least(F.size(found), F.lit(p["keyword_cap"])) * round(100 * p["keyword"])
         reasons.append(
             F.when(F.size(found) > 0,
                    F.concat(F.lit(topic + ": "), F.array_join(F.slice(found, 1, p["keyword_cap"]), ", ")))
         )
-    known = F.lower(tx.col(language)).isin(vocab.REPO_LANGUAGES)
-    mcp = tx.contains_any(text, vocab.REPO_MCP_MARKS)
+    known = F.lower(language).isin(vocab.REPO_LANGUAGES)
+    mcp = matched["_mark"]
     hundredths = hundredths + F.when(known, round(100 * p["language"])).otherwise(0)
     hundredths = hundredths + F.when(mcp, round(100 * p["mcp"])).otherwise(0)
-    reasons.append(F.when(known, F.concat(F.lit("language: "), tx.col(language))))
+    reasons.append(F.when(known, F.concat(F.lit("language: "), language)))
     reasons.append(F.when(mcp, F.lit("MCP related")))
     reason = F.concat_ws("; ", *reasons)
     return F.struct(
@@ -93,7 +107,7 @@ def repo_score(description, topics, language) -> Column:
 
 
 def score_repos(repos: DataFrame) -> DataFrame:
-    scored = repos.withColumn("_r", repo_score("description", "topics", "language"))
+    scored = tx.once(repos, _r=repo_score("description", "topics", "language"))
     return scored.withColumn("relevance_score", F.col("_r.score")).withColumn(
         "relevance_reason", F.col("_r.reason")
     ).drop("_r")
@@ -138,10 +152,18 @@ def latest_per_developer(repos: DataFrame) -> DataFrame:
 
 def applicable_projects(description, topics) -> Column:
     """Projects a repository may help."""
-    text = F.concat_ws(" ", F.coalesce(F.lower(tx.col(description)), F.lit("")),
-                       F.concat_ws(" ", tx.col(topics)))
-    hits = [F.when(tx.contains_any(text, words), F.lit(p)) for p, words in vocab.APPLICABLE_PROJECTS]
-    return F.array_compact(F.array(*hits))
+
+    def hits(text: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                *[
+                    F.when(tx.contains_any(text, words), F.lit(p))
+                    for p, words in vocab.APPLICABLE_PROJECTS
+                ]
+            )
+        )
+
+    return tx.let(_repo_text(description, topics), hits)
 
 
 def watch(watched: DataFrame, added: DataFrame) -> DataFrame:

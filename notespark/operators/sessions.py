@@ -44,10 +44,10 @@ def issue_key(text: Column) -> Column:
 
 def issues(notes: DataFrame, text: str = "content") -> DataFrame:
     """One row per issue: the bullets below a failure header, up to the next heading."""
-    after = tx.rest(F.split(tx.col(text), vocab.FAILURE_HEADER))
+    after = tx.let(F.split(tx.col(text), vocab.FAILURE_HEADER), lambda x: tx.rest(x))
     bodies = F.transform(after, lambda s: F.split_part(s, F.lit("\n##"), F.lit(1)))
     # what follows the header's own words on its line is not an issue
-    lines = F.flatten(F.transform(bodies, lambda b: tx.rest(F.split(b, "\n"))))
+    lines = F.flatten(F.transform(bodies, lambda b: tx.let(F.split(b, "\n"), lambda x: tx.rest(x))))
     clean = F.transform(
         F.filter(F.transform(lines, tx.strip), lambda s: (s != "") & ~s.startswith("#")),
         lambda s: tx.strip(F.regexp_replace(s, r"^[-*•]\s*", "")),
@@ -151,10 +151,13 @@ def recommendations(found: DataFrame, sessions: int) -> list[str]:
 def outcomes(notes: DataFrame) -> DataFrame:
     """Decision notes with the status, text and lessons of their outcome section."""
     decisions = notes.where(F.col("note_type") == "decision")
-    has = F.col("content").rlike(vocab.OUTCOME)
-    text = tx.strip(F.regexp_extract("content", vocab.OUTCOME, 1))
-    rows = decisions.select(
-        "project", "title", "path", has.alias("has_outcome"), F.when(has, text).alias("outcome")
+    section = tx.find_all("content", vocab.OUTCOME, 1)
+    found = tx.once(
+        decisions.select("project", "title", "path", "content"), outcome=F.get(section, F.lit(0))
+    )
+    rows = found.select(
+        "project", "title", "path", F.col("outcome").isNotNull().alias("has_outcome"),
+        tx.strip("outcome").alias("outcome"),
     )
     status = F.lower(F.regexp_extract("outcome", vocab.OUTCOME_STATUS, 1))
     return rows.select(

@@ -85,14 +85,15 @@ def with_front_matter(files: DataFrame) -> DataFrame:
 
     Only the front-matter block itself goes through Python; the text stays in the JVM.
     """
-    block = F.regexp_extract("raw_content", FRONT_MATTER, 1)
-    found = F.from_json(yaml_as_json(block), schema.NOTE_META)
-    return (
-        files.withColumn("_fm", found)
-        .withColumn("meta", F.coalesce(F.col("_fm.meta"), F.create_map().cast("map<string,string>")))
-        .withColumn("meta_tags", F.coalesce(F.col("_fm.tags"), F.array().cast("array<string>")))
-        .withColumn("body", tx.strip(F.regexp_replace("raw_content", FRONT_MATTER, "")))
-        .drop("_fm")
+    read = files.withColumn("_json", yaml_as_json(F.regexp_extract("raw_content", FRONT_MATTER, 1)))
+    parsed = tx.once(
+        read, _fm=F.from_json("_json", schema.NOTE_META),
+        body=tx.strip(F.regexp_replace("raw_content", FRONT_MATTER, "")),
+    )
+    return parsed.select(
+        *files.columns,
+        F.coalesce(F.col("_fm.meta"), F.create_map().cast("map<string,string>")).alias("meta"),
+        F.coalesce(F.col("_fm.tags"), F.array().cast("array<string>")).alias("meta_tags"), "body",
     )
 
 
