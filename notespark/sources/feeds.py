@@ -15,10 +15,7 @@ from notespark.operators import dependencies
 
 def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """Indented JSON files; what cannot be read gives no rows, as an empty store would."""
-    rows = spark.read.schema(f"{ddl}, _corrupt string").json(
-        path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt"
-    )
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    return spark.read.schema(ddl).json(path, multiLine=True, mode="DROPMALFORMED")
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:

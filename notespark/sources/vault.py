@@ -20,10 +20,27 @@ from notespark.functions import text as tx
 FRONT_MATTER = r"(?sd)\A\s*-{3,}[^\S\n]*\n(.*?)(?<=\n)-{3,}[^\S\n]*(?:\n|\z)"
 
 
+def _hidden_paths(spark: SparkSession, root: str) -> list[str]:
+    """Files and directories Spark's listing passes over for their names, at any depth.
+
+    Named as inputs of their own they are read like others; a scan decides which of them count.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, level = [], root.rstrip("/")
+    while True:
+        hidden = fs.globStatus(hadoop.Path(f"{level}/[_.]*")) or []
+        found += [status.getPath().toString() for status in hidden]
+        level += "/*"
+        if not any(status.isDirectory() for status in fs.globStatus(hadoop.Path(level)) or []):
+            return found
+
+
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """All files under ``root`` matching ``glob``, one row each, listed and read by Spark."""
     found = spark.read.text(
-        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob
+        [root, *_hidden_paths(spark, root)], wholetext=True, recursiveFileLookup=True,
+        pathGlobFilter=glob,
     ).select(
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_p"),
         F.col("value").alias("raw_content"),
