@@ -45,7 +45,7 @@ def requirements(content: Column) -> Column:
 
 def pubspec_dependencies(content: Column) -> Column:
     blocks = tx.find_all(
-        F.concat(F.lit("\n"), content), r"\n\s*(?:dev_)?dependencies:[ \t]*((?:\n(?:[ \t][^\n]*)?)*)", 1
+        content, r"(?m)^[ \t]*(?:dev_)?dependencies:[ \t]*((?:\n[ \t][^\n]*)*)", 1
     )
     entry = r"(?m)^\s+(\w[\w_]*)\s*:\s*\^?([0-9][^\s#]*)"
     body = F.array_join(blocks, "\n")
