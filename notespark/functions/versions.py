@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from notespark.functions.text import col
+from notespark.functions.text import col, let
 
 
 def clean_version(spec: Column | str) -> Column:
@@ -14,8 +14,8 @@ def clean_version(spec: Column | str) -> Column:
 
 
 def _parts(version: Column) -> Column:
-    given = F.transform(F.slice(F.split(version, r"\."), 1, 3), lambda p: p.try_cast("int"))
-    return F.slice(F.concat(given, F.array(F.lit(0), F.lit(0))), 1, 3)
+    given = F.transform(F.slice(F.split(version, r"\."), 1, 3), lambda p: p.try_cast("bigint"))
+    return F.slice(F.concat(given, F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))), 1, 3)
 
 
 def update_type(current: Column | str, latest: Column | str, parity: bool = False) -> Column:
@@ -24,11 +24,18 @@ def update_type(current: Column | str, latest: Column | str, parity: bool = Fals
     A downgrade is unknown.  ``parity`` tests each part alone, so that a lower major with a
     higher minor counts as minor.
     """
-    c, n = _parts(col(current)), _parts(col(latest))
-    readable = ~F.exists(c, lambda p: p.isNull()) & ~F.exists(n, lambda p: p.isNull())
-    out = F.when(~readable, F.lit("unknown"))
-    for i, name in enumerate(["major", "minor", "patch"]):
-        out = out.when(n[i] > c[i], F.lit(name))
-        if not parity:
-            out = out.when(n[i] < c[i], F.lit("unknown"))
-    return out.otherwise(F.lit("unknown"))
+
+    def compared(c: Column, n: Column) -> Column:
+        # a part that is no number is null and fits no branch before "unknown"
+        readable = (c[0] + c[1] + c[2] + n[0] + n[1] + n[2]).isNotNull()
+        out = F.when(~readable, F.lit("unknown"))
+        for i, name in enumerate(["major", "minor", "patch"]):
+            out = out.when(n[i] > c[i], F.lit(name))
+            if not parity:
+                out = out.when(n[i] < c[i], F.lit("unknown"))
+        return out.otherwise(F.lit("unknown"))
+
+    return let(
+        F.struct(_parts(col(current)).alias("c"), _parts(col(latest)).alias("n")),
+        lambda v: compared(v["c"], v["n"]),
+    )

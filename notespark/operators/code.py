@@ -17,6 +17,7 @@ from notespark import vocab
 from notespark.functions import text as tx
 from notespark.operators.dependencies import npm_dependencies
 from notespark.scale import top_per_key
+from notespark.session import cut_lineage
 
 
 def suffix(path: Column | str) -> Column:
@@ -117,7 +118,7 @@ def _imports(found: DataFrame) -> DataFrame:
 
 def edges(found: DataFrame) -> DataFrame:
     """Imports between a project's own files; of files with one name the last path counts."""
-    named = found.groupBy("project", "name").agg(F.max("path").alias("target"))
+    named = cut_lineage(found.groupBy("project", "name").agg(F.max("path").alias("target")))
     return (
         _imports(found).join(named, ["project", "name"]).where("path <> target")
         .select("project", F.col("path").alias("source"), "target").distinct()

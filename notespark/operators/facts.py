@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notespark import vocab
+from notespark.session import broadcast_if_small, cut_lineage
 from notespark.scale import next_different, order_cuts, previous_value, running_sum, running_sums
 
 
@@ -42,6 +43,7 @@ def invalidate(facts: DataFrame, ended: DataFrame) -> DataFrame:
         F.lower("subject").alias("subject"), F.lower("predicate").alias("predicate"),
         F.lower("object").alias("object"),
     ).agg(F.min("ended").alias("_end"))
+    ends = broadcast_if_small(cut_lineage(ends))
     joined = facts.join(ends, ["subject", "predicate", "object"], "left")
     to = F.when((F.col("valid_to") == "") & F.col("_end").isNotNull(), F.col("_end")).otherwise(
         F.col("valid_to")
@@ -180,14 +182,14 @@ def fact_stats(facts: DataFrame, as_of: str) -> DataFrame:
 
 
 def active_lines(facts: DataFrame, as_of: str, order: str = "seq") -> DataFrame:
-    """Active facts as report lines, in the order subjects are listed."""
+    """Active facts as report lines, to be listed by subject and order of arrival."""
     return facts.where(is_active(as_of)).select(
         "subject", order,
         F.concat(
             F.lit("- "), "predicate", F.lit(": **"), "object", F.lit("** (since "), "valid_from",
             F.lit(")"),
         ).alias("line"),
-    ).orderBy("subject", order)
+    )
 
 
 def facts_before(statements: DataFrame, order: str = "seq") -> DataFrame:

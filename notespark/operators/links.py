@@ -26,19 +26,18 @@ def link_rows(notes: DataFrame) -> DataFrame:
     ).withColumn("key", tx.link_stem("target"))
 
 
-def edges(notes: DataFrame, all_nodes: DataFrame) -> DataFrame:
+def edges(notes: DataFrame) -> DataFrame:
     """Directed edges between existing, different nodes, with the number of links ``n``.
 
-    Links are counted per pair before the join.  A hub's edges can be many: the nodes side has
-    one row per key, and the edges side is what a skewed shuffle partition would split.
+    Links are counted per pair before the join.  A hub's edges can be many; both sides of the
+    join are plain shuffles, so that AQE can split the hub's partition.
     """
     pairs = (
         link_rows(notes).where("key <> source")
         .groupBy("source", F.col("key").alias("target")).agg(F.count(F.lit(1)).alias("n"))
     )
-    return pairs.join(all_nodes.select(F.col("node").alias("target")), "target", "left_semi").select(
-        "source", "target", "n"
-    )
+    stems = notes.select(F.lower("stem").alias("target"))
+    return pairs.join(stems, "target", "left_semi").select("source", "target", "n")
 
 
 def degrees(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
@@ -59,13 +58,16 @@ def hubs(with_degree: DataFrame, n: int = 10) -> DataFrame:
 
 def graph_stats(with_degree: DataFrame, all_edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Node, edge and component counts, density and mean degree, as one row."""
-    a = with_degree.agg(
-        F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("degree"), F.lit(0)).alias("_d")
-    )
-    b = all_edges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
-    out = a.join(b)  # one row each
+    parts = [
+        with_degree.agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("_d")),
+        all_edges.agg(F.sum("n").alias("edges")),
+    ]
     if labels is not None:
-        out = out.join(labels.agg(F.count_distinct("component").alias("components")))
+        parts.append(labels.agg(F.count_distinct("component").alias("components")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    out = rows.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in rows.columns])
     possible = F.when(F.col("nodes") > 1, F.col("nodes") * (F.col("nodes") - 1)).otherwise(F.lit(1))
     return out.select(
         "nodes", "edges", F.round(F.col("edges") / possible, 4).alias("density"),
@@ -179,15 +181,16 @@ def components(all_nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.union(pairs.select("b", "a")).toDF("u", "v")
         # the greater neighbours of u go to the least of u and its neighbours
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            "u", F.least("u", "m").alias("m"))
-        large = (
+        # (written out first: a join of two plain shuffles is one AQE can split at a hub)
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            "u", F.least("u", "m").alias("m")))
+        large = cut_lineage(
             both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
             .where("a <> b").distinct()
         )
         # u and its smaller neighbours go to the least of them
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             down.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
             .union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))

@@ -170,7 +170,7 @@ def front_matter(notes: DataFrame) -> DataFrame:
 
 def lint(notes: DataFrame, as_of: str, project: str | None = None,
          stale_days: int = vocab.STALE_DAYS) -> DataFrame:
-    """All checks, most severe first."""
+    """The issues of all checks; :func:`in_order` lists them."""
     whole = notes
     if project:
         notes = notes.where(F.col("project") == project)
@@ -178,11 +178,15 @@ def lint(notes: DataFrame, as_of: str, project: str | None = None,
         orphans(notes), stale(notes, as_of, stale_days), broken_links(notes, whole),
         missing_concepts(notes), todo_markers(notes), empty_sections(notes), front_matter(notes),
     ]
-    found = reduce(DataFrame.unionByName, checks)
+    return reduce(DataFrame.unionByName, checks)
+
+
+def in_order(issues: DataFrame) -> DataFrame:
+    """Most severe first."""
     rank = F.when(F.lit(False), F.lit(0))
     for name, value in vocab.SEVERITY_RANK.items():
         rank = rank.when(F.col("severity") == name, F.lit(value))
-    return found.orderBy(rank, "category", "file", "message")
+    return issues.orderBy(rank, "category", "file", "message")
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:

@@ -54,8 +54,9 @@ def shortened(content: Column, keep: int) -> Column:
 
 def prepared(files: DataFrame, mode: str = "compact") -> DataFrame:
     """Files with priority, content as the mode shows it, and token estimate."""
-    rows = packable(files).withColumn("priority", priority("path"))
-    rows = rows.withColumn("size_lines", F.size(F.split("raw_content", "\n")))
+    rows = tx.once(
+        packable(files), priority=priority("path"), size_lines=F.size(F.split("raw_content", "\n"))
+    )
     content = F.col("raw_content")
     limit = F.lit(None).cast("int")
     for level, keep in vocab.PACK_LINES[mode].items():
@@ -65,8 +66,8 @@ def prepared(files: DataFrame, mode: str = "compact") -> DataFrame:
         elif keep is not None:
             content = F.when(here, shortened(F.col("raw_content"), keep)).otherwise(content)
             limit = F.when(here, F.lit(keep)).otherwise(limit)
-    rows = rows.withColumn("content", content).withColumn(
-        "compressed", F.coalesce(F.col("size_lines") > limit, F.lit(False))
+    rows = tx.once(
+        rows, content=content, compressed=F.coalesce(F.col("size_lines") > limit, F.lit(False))
     )
     return rows.withColumn("token_estimate", tx.estimated_tokens("content")).drop("raw_content")
 

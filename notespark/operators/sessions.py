@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from notespark import vocab
 from notespark.functions import text as tx
@@ -97,11 +98,11 @@ def repeating_projects(found: DataFrame, patterns: DataFrame) -> DataFrame:
 def category_share(found: DataFrame, top: int = 8) -> DataFrame:
     """Issues per category with their share in percent, halves rounded to even."""
     counts = found.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("_t"))
+    # one row per category of the fixed list: few enough for one window
+    total = F.sum("count").over(W.partitionBy(F.lit(1)))
     return (
-        counts.join(F.broadcast(total))
-        .withColumn("pct", F.bround(F.col("count") / F.col("_t") * 100).cast("bigint"))
-        .drop("_t").orderBy(F.desc("count"), "category").limit(top)
+        counts.withColumn("pct", F.bround(F.col("count") / total * 100).cast("bigint"))
+        .orderBy(F.desc("count"), "category").limit(top)
     )
 
 
@@ -191,14 +192,14 @@ def patterns(found: DataFrame) -> DataFrame:
 
 
 def auto_rules(found: DataFrame) -> DataFrame:
-    """Rules as lines ``**project**: lesson``, numbered by a global order of kind and path.
+    """Rules as lines ``**project**: lesson``, to be listed by ``kind`` and ``path``.
 
     A decision without a lesson gives the start of its outcome text.
     """
     lesson = F.when(F.col("lessons") != "", F.col("lessons")).otherwise(F.substring("outcome", 1, 150))
     return patterns(found).select(
         "kind", "path", F.concat(F.lit("**"), "project", F.lit("**: "), lesson).alias("rule")
-    ).orderBy("kind", "path")
+    )
 
 
 # ------------------------------------------------------------------------------ wake-up

@@ -16,7 +16,7 @@ PATTERN = r"(?i)\b(the|hein|thouble|ndonre|and|with)\b"
 def _graph(spark, folder):
     notes = cut_lineage(vault.scan(corpus.page_files(spark, folder)))
     nodes = links.nodes(notes)
-    return notes, nodes, cut_lineage(links.edges(notes, nodes))
+    return notes, nodes, cut_lineage(links.edges(notes))
 
 
 def graph_edges(spark, folder):

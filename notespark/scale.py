@@ -15,22 +15,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SAMPLE_PER_RANGE = 64
+from notespark.functions.text import once
+
+SAMPLE_PER_RANGE = 32
+MAX_RANGES = 1024
 
 
 def order_cuts(df: DataFrame, key: Column, ranges: int | None = None) -> list:
     """Values of ``key`` that cut the rows into about equal ranges.
 
-    The cuts come from a hash-ordered sample of bounded size, so they are the same on
-    every run; they only steer balance and never the result.
+    A count tells which share of the hash values gives a sample of bounded size; the cuts are
+    the same on every run.  They only steer balance: every row falls in exactly one range
+    whatever the cuts are.
     """
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    size = ranges * SAMPLE_PER_RANGE
     keys = df.select(key.alias("_k")).where(F.col("_k").isNotNull())
-    sample = [
-        row[0]
-        for row in keys.orderBy(F.xxhash64("_k"), "_k").limit(ranges * SAMPLE_PER_RANGE).collect()
-    ]
-    sample.sort()
+    rows = keys.count()
+    if rows > size:
+        below = -(2**63) + (2**64 * size) // rows
+        keys = keys.where(F.xxhash64("_k") < F.lit(below))
+    sample = sorted(row[0] for row in keys.distinct().limit(4 * size).collect())
     cuts: list = []
     for i in range(1, ranges):
         at = i * len(sample) // ranges
@@ -53,7 +59,8 @@ def range_of(key: Column, cuts: Sequence) -> Column:
 
 def _ranged(df: DataFrame, order: str, cuts: Sequence | None) -> DataFrame:
     cuts = order_cuts(df, F.col(order)) if cuts is None else cuts
-    return df.withColumn("_range", range_of(F.col(order), cuts))
+    # the key is compared many times, so it is computed below a generator, once
+    return once(df, _key=F.col(order)).withColumn("_range", range_of(F.col("_key"), cuts)).drop("_key")
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:

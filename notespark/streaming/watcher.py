@@ -83,14 +83,17 @@ def period_counts(todo: DataFrame) -> DataFrame:
 
 
 def split_closed(events: DataFrame, quiet: float, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Events of periods that have been quiet long enough by ``now``, and the others."""
-    marked = with_period(events, quiet)
-    last = marked.groupBy("period").agg(F.max("ts").alias("_last"))
-    over = F.unix_micros(F.col("_last").cast("timestamp")) + F.lit(int(quiet * 1_000_000)) <= (
-        F.unix_micros(now)
-    )
-    flagged = marked.join(last.select("period", over.alias("_over")), "period")
-    return flagged.where("_over").drop("_over"), flagged.where("NOT _over").drop("_over", "period")
+    """Events of periods that have been quiet long enough by ``now``, and the others.
+
+    A period is over when another follows; only the last can still be open.
+    """
+    marked = cut_lineage(with_period(events, quiet))
+    ends = marked.agg(F.max("period").alias("p"), F.max("ts").cast("timestamp").alias("t"))
+    over = F.unix_micros("t") + F.lit(int(quiet * 1_000_000)) <= F.unix_micros(now)
+    last = ends.select("p", F.coalesce(over, F.lit(True)).alias("over")).first()
+    if last["over"]:
+        return marked, marked.where(F.lit(False)).drop("period")
+    return marked.where(F.col("period") < last["p"]), marked.where(F.col("period") == last["p"]).drop("period")
 
 
 class Watcher:

@@ -31,8 +31,7 @@ def small(spark):
 
 
 def graph(notes):
-    nodes = links.nodes(notes)
-    return nodes, links.edges(notes, nodes)
+    return links.nodes(notes), links.edges(notes)
 
 
 def test_edges(small):
@@ -149,4 +148,4 @@ def test_front_matter(spark):
 
 def test_lint_of_a_project_may_link_to_others(spark):
     notes = vault(spark, note("a/x.md", "[[y]]"), note("b/y.md", "[[x]]"))
-    assert [r.category for r in lint.lint(notes, "2024-01-01", "a").collect()] == ["orphan"]
+    assert [r.category for r in lint.in_order(lint.lint(notes, "2024-01-01", "a")).collect()] == ["orphan"]

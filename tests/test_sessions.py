@@ -86,7 +86,7 @@ def test_outcomes(spark):
     assert sessions.outcome_counts(found).first().asDict() == {
         "total_decisions": 4, "with_outcomes": 3, "without_outcomes": 1, "success_count": 1,
         "partial_count": 0, "failed_count": 1}
-    rules = [(r.kind, r.rule) for r in sessions.auto_rules(found).collect()]
+    rules = [(r.kind, r.rule) for r in sessions.auto_rules(found).orderBy("kind", "path").collect()]
     assert rules[0] == ("DO", "**app**: ship early")
     # without a lesson the outcome text speaks
     assert rules[1][0] == "DON'T" and rules[1][1].startswith("**app**: Status: failed")
