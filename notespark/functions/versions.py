@@ -26,8 +26,9 @@ def update_type(current: Column | str, latest: Column | str, parity: bool = Fals
     """
 
     def compared(c: Column, n: Column) -> Column:
-        # a part that is no number is null and fits no branch before "unknown"
-        readable = (c[0] + c[1] + c[2] + n[0] + n[1] + n[2]).isNotNull()
+        readable = F.lit(True)
+        for part in (c[0], c[1], c[2], n[0], n[1], n[2]):
+            readable = readable & part.isNotNull()
         out = F.when(~readable, F.lit("unknown"))
         for i, name in enumerate(["major", "minor", "patch"]):
             out = out.when(n[i] > c[i], F.lit(name))

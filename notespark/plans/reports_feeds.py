@@ -145,8 +145,11 @@ def developer_latest(spark, folder):
 
 def _tools(spark, folder, month: str):
     """Tools seen in a month: the parts of its line items."""
+    start = F.lit(f"{month}-01").cast("timestamp_ntz")
+    shipped = F.col("l_shipdate")
     lines = corpus.table(spark, folder, "lineitem").where(
-        F.date_format("l_shipdate", "yyyy-MM") == month).select(F.col("l_partkey").alias("p_partkey")).distinct()
+        (shipped >= start) & (shipped < F.add_months(start, 1).cast("timestamp_ntz"))
+    ).select(F.col("l_partkey").alias("p_partkey")).distinct()
     what = {"PROMO": "a React helper", "ECONOMY": "Tailwind theme", "SMALL": "docker image"}
     parts = corpus.table(spark, folder, "part").join(lines, "p_partkey", "left_semi")
     return radar.score_tools(parts.select(

@@ -6,7 +6,9 @@ vault, so that files kept in Parquet parse the same way as files read from a dir
 
 from __future__ import annotations
 
+import datetime
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,10 +72,67 @@ def _plain(value) -> str | None:
     return value.isoformat() if hasattr(value, "isoformat") else str(value)
 
 
-def _read_yaml(block: str | None) -> str | None:
-    """One front-matter block as JSON: fields as strings, and the tags."""
-    if not block:
+# Plain scalars that YAML takes for truth values or null; anything else made of words is text.
+_YAML_WORDS = {"yes", "no", "true", "false", "on", "off", "null", "y", "n"}
+_WORDS = r"[A-Za-z][\w./-]*(?: [\w./-]+)*"
+_FIELD = re.compile(r"([A-Za-z_][\w-]*):(?: +(.*?))? *")
+_ITEM = re.compile(rf" *- +(?:\"([\w ./-]*)\"|({_WORDS})) *")
+_SCALAR = re.compile(rf"{_WORDS}|\d{{4}}-\d\d-\d\d", re.ASCII)
+_LIST = re.compile(rf"\[ *({_WORDS}(?: *, *{_WORDS})*) *\]", re.ASCII)
+
+
+def _simple_yaml(block: str) -> dict | None:
+    """Fields of a block made of plain words, days and lists of words only, the common case.
+
+    Gives up (None) on any line whose meaning is not plain, for the YAML parser to decide.
+    """
+    fields: dict = {}
+    key = None
+    for line in block.split("\n"):
+        item = _ITEM.fullmatch(line)
+        if item and key is not None and isinstance(fields[key], list):
+            word = item[1] if item[1] is not None else item[2]
+            if item[1] is None and word.lower() in _YAML_WORDS:
+                return None
+            fields[key].append(word)
+            continue
+        if not line:
+            continue
+        field = _FIELD.fullmatch(line)
+        if not field or field[1].lower() in _YAML_WORDS or not line.isascii():
+            return None
+        if key is not None and fields[key] == []:
+            return None
+        key, value = field[1], field[2]
+        if key in fields:
+            return None
+        if not value:
+            fields[key] = []  # items must follow
+            continue
+        listed = _LIST.fullmatch(value)
+        if listed:
+            fields[key] = [w.strip() for w in listed[1].split(",")]
+            words = fields[key]
+        elif _SCALAR.fullmatch(value):
+            if value[0].isdigit():
+                try:
+                    datetime.date.fromisoformat(value)
+                except ValueError:
+                    return None
+            fields[key] = value
+            words = [value]
+        else:
+            return None
+        if any(w.lower() in _YAML_WORDS for w in words):
+            return None
+        if listed:
+            key = None
+    if not fields or (key is not None and fields[key] == []):
         return None
+    return fields
+
+
+def _yaml(block: str) -> dict | None:
     import yaml
 
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
@@ -81,7 +140,17 @@ def _read_yaml(block: str | None) -> str | None:
         fields = yaml.load(block, Loader=loader)
     except (yaml.YAMLError, ValueError):
         return None
-    if not isinstance(fields, dict):
+    return fields if isinstance(fields, dict) else None
+
+
+def _read_yaml(block: str | None) -> str | None:
+    """One front-matter block as JSON: fields as strings, and the tags."""
+    if not block:
+        return None
+    fields = _simple_yaml(block)
+    if fields is None:
+        fields = _yaml(block)
+    if fields is None:
         return None
     tags = fields.get("tags")
     if isinstance(tags, str):

@@ -78,3 +78,23 @@ def test_only_front_matter_goes_through_python(spark):
     plan = vault.parse_notes(files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
     assert files.select(F.col("path")).count() == 1
+
+
+BLOCKS = [
+    "project: app\ntype: note\ncreated: 2024-01-02\n", "tags: [a, b c]\ntype: x\n", "tags:\n  - \"s t\"\n  - word\nupdated: 2024-02-30\n",
+    "tags:\n  - one\n  - two\ntype: y\n", "a: yes\n", "a: no way\n", "b: ~\n", "c: 1.50\nd: 007\n", "e: 'q'\n", "f: x # c\n", "g:\n",
+    "h:\ni: x\n", "tags: a, b\n", "j: [yes, a]\n", "k: [ a , b ]\n", "- x\n", "l: {a: 1}\n", "m: x: y\n", "on: x\n", "n1: a\nn1: b\n",
+    "o: \n- a\n", "p: a  \n", "tags: []\n", "q: 2024-01-01 10:00:00\n", "r: é\n", "s: a b  c\n", "t: http://x.y/z\n", "  u: x\n", "v:x\n",
+    "tags: [a]\n  - b\n", "w: |\n  text\n", "x: y\n\nz: w\n", "tags:\n- a\n- b\n", "a-b: c-d\n", "d: a.b/c_d-e\n", "f: .5\n", "tags:\n  - 5\n",
+]
+
+
+def test_plain_blocks_read_like_yaml():
+    quick = 0
+    for block in BLOCKS:
+        fields = vault._simple_yaml(block)
+        if fields is not None:
+            quick += 1
+            plain = {str(k): vault._plain(v) for k, v in vault._yaml(block).items()}
+            assert {k: vault._plain(v) for k, v in fields.items()} == plain, block
+    assert quick >= 9
