@@ -125,7 +125,7 @@ def repo_digest(spark, folder):
 
 def trending_repos(spark, folder):
     return radar.trending(_repos(spark, folder), "2024-01-20", 1000, "ai", 20).select(
-        "full_name", "stars", "relevance_score")
+        "full_name", F.col("stars").cast("bigint").alias("stars"), "relevance_score")
 
 
 def applicable_projects(spark, folder):
@@ -530,7 +530,7 @@ ORACLE = {
     "dependency_status": f"""WITH {_DEPS} SELECT project, manager, name, current, latest, status, update_type
         FROM states""",
     "dependency_summary": f"""WITH {_DEPS} SELECT project,
-        CASE WHEN manager = 'flutter' THEN 1 ELSE 2 END::BIGINT AS total_deps, 0 AS up_to_date, 1 AS outdated,
+        CASE WHEN manager = 'flutter' THEN 1 ELSE 2 END::BIGINT AS total_deps, 0::BIGINT AS up_to_date, 1::BIGINT AS outdated,
         CAST(update_type = 'major' AS BIGINT) AS major, CAST(update_type = 'minor' AS BIGINT) AS minor,
         CAST(update_type = 'patch' AS BIGINT) AS patch, CAST(update_type = 'unknown' AS BIGINT) AS unknown
         FROM states""",
@@ -548,7 +548,8 @@ ORACLE = {
         CASE ext WHEN '.py' THEN 'os,pkg,mod_' || (p_partkey + 1) || ',mod_' || (p_partkey + 7)
           WHEN '.dart' THEN 'flutter,mod_' || (p_partkey + 1)
           ELSE 'mod_' || (p_partkey + 1) || ',mod_' || (p_partkey + 7) END AS imports,
-        CASE ext WHEN '.py' THEN 7 WHEN '.dart' THEN 3 ELSE 2 END AS size_lines FROM code_files""",
+        CAST(CASE ext WHEN '.py' THEN 7 WHEN '.dart' THEN 3 ELSE 2 END AS BIGINT) AS size_lines
+        FROM code_files""",
     "code_edges": f"""WITH {corpus.CODE_FILES} SELECT DISTINCT i.project, i.path AS source, f.path AS target
         FROM code_imports i JOIN code_files f ON f.project = i.project AND f.name = i.name""",
     "code_external": f"""WITH {corpus.CODE_FILES} SELECT DISTINCT project, name FROM code_imports i

@@ -69,7 +69,8 @@ def find_node(spark, folder):
 
 def suggest_nodes(spark, folder):
     notes = vault.scan(corpus.page_files(spark, folder))
-    return links.suggest_nodes(links.nodes(notes), "page-7-the").select("node", "overlap")
+    return links.suggest_nodes(links.nodes(notes), "page-7-the").select(
+        "node", F.col("overlap").cast("bigint").alias("overlap"))
 
 
 def orphans(spark, folder):

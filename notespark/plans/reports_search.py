@@ -338,6 +338,22 @@ ORACLE = {
         final AS (SELECT kept FROM walk ORDER BY position DESC LIMIT 1)
         SELECT kept[i] AS doc_id, i AS pick
         FROM final, LATERAL (SELECT unnest(range(1, len(kept) + 1)) AS i)""",
+    "mmr_select": f"""WITH RECURSIVE {BM25_SQL}, {_CANDIDATES},
+        gains AS (SELECT position, doc_id, toks, (raw_score - (SELECT min(raw_score) FROM top_hits))
+          / (SELECT max(raw_score) - min(raw_score) FROM top_hits) AS gain FROM top_hits),
+        sims AS (SELECT a.position AS a, b.position AS b, {_JACCARD.format(a='a.toks', b='b.toks')} AS sim
+          FROM gains a JOIN gains b ON a.position <> b.position),
+        walk AS (
+          SELECT 1 AS pick, 1 AS position, [1] AS taken
+          UNION ALL
+          SELECT pick + 1, next, list_append(taken, next) FROM (
+            SELECT w.pick, w.taken, (
+              SELECT arg_max(position, value) FROM (
+                SELECT s.a AS position, 0.7 * any_value(g.gain) - 0.3 * max(s.sim) AS value
+                FROM sims s JOIN gains g ON g.position = s.a
+                WHERE list_contains(w.taken, s.b) AND NOT list_contains(w.taken, s.a) GROUP BY s.a)) AS next
+            FROM walk w WHERE w.pick < 10))
+        SELECT g.doc_id, CAST(w.pick AS BIGINT) AS pick FROM walk w JOIN gains g ON g.position = w.position""",
     "lexical_rerank": f"""WITH {BM25_SQL}, {_CANDIDATES}
         SELECT doc_id, round(s, 4) AS rerank_score FROM (
           SELECT doc_id, position, len(list_intersect(toks,

@@ -37,6 +37,7 @@ def local_spark(cores: int = 8, app: str = "notespark-local") -> SparkSession:
         **{
             "spark.sql.shuffle.partitions": str(cores),
             "spark.ui.enabled": "false",
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
             "spark.driver.bindAddress": "127.0.0.1",
