@@ -348,7 +348,7 @@ ORACLE = {
           UNION ALL
           SELECT pick + 1, next, list_append(taken, next) FROM (
             SELECT w.pick, w.taken, (
-              SELECT arg_max(position, value) FROM (
+              SELECT arg_max(position, {{'v': round(value, 9), 'p': -position}}) FROM (
                 SELECT s.a AS position, 0.7 * any_value(g.gain) - 0.3 * max(s.sim) AS value
                 FROM sims s JOIN gains g ON g.position = s.a
                 WHERE list_contains(w.taken, s.b) AND NOT list_contains(w.taken, s.a) GROUP BY s.a)) AS next
