@@ -150,15 +150,15 @@ def latest_per_developer(repos: DataFrame) -> DataFrame:
     ).select("username", "_r.*")
 
 
-def applicable_projects(description, topics) -> Column:
-    """Projects a repository may help."""
+def applicable_projects(description, topics, rules=vocab.APPLICABLE_PROJECTS) -> Column:
+    """Projects a repository may help, by a table of (project, keywords)."""
 
     def hits(text: Column) -> Column:
         return F.array_compact(
             F.array(
                 *[
                     F.when(tx.contains_any(text, words), F.lit(p))
-                    for p, words in vocab.APPLICABLE_PROJECTS
+                    for p, words in rules
                 ]
             )
         )

@@ -303,7 +303,7 @@ task_notes AS (
 KIND_OF_EVENT = {
     "click": "idea", "view": "link", "signup": "decision-link", "purchase": "idea", "error": "memo",
 }
-KNOWN_PROJECTS = ["Faithly", "darshan", "botseller", "Client8", "user-7", "my app", "research", "ai"]
+KNOWN_PROJECTS = ["Lantern", "harbor", "shopbot", "Client8", "user-7", "my app", "research", "ai"]
 
 
 def captures(spark: SparkSession, folder: str) -> DataFrame:
@@ -313,8 +313,8 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
     text = (
         F.when(c("event_type") == "click", _text("Project: Client", c("user_id"), " wants Flutter soon"))
         .when(c("event_type") == "view",
-              _text("see https://example.com/", c("event_id"), " botseller, Botseller or darshan"))
-        .when(c("event_type") == "signup", F.lit("faithly and darshan, but not darshan-two"))
+              _text("see https://example.com/", c("event_id"), " shopbot, Shopbot or harbor"))
+        .when(c("event_type") == "signup", F.lit("lantern and harbor, but not harbor-two"))
         .when(c("event_type") == "purchase",
               _text("user-", c("user_id"), " likes my app and [[Topic ", c("user_id"), "]]"))
         .otherwise(F.lit("ok"))
@@ -336,8 +336,8 @@ captures AS (
   SELECT event_id, user_id, event_type,
     'inbox/' || {_sql_mapped('event_type', KIND_OF_EVENT, 'memo')} || '-' || event_id || '.md' AS path,
     CASE event_type WHEN 'click' THEN 'Project: Client' || user_id || ' wants Flutter soon'
-      WHEN 'view' THEN 'see https://example.com/' || event_id || ' botseller, Botseller or darshan'
-      WHEN 'signup' THEN 'faithly and darshan, but not darshan-two'
+      WHEN 'view' THEN 'see https://example.com/' || event_id || ' shopbot, Shopbot or harbor'
+      WHEN 'signup' THEN 'lantern and harbor, but not harbor-two'
       WHEN 'purchase' THEN 'user-' || user_id || ' likes my app and [[Topic ' || user_id || ']]'
       ELSE 'ok' END AS text
   FROM events)"""

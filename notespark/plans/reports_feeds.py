@@ -57,7 +57,7 @@ def concept_stubs(spark, folder):
         corpus.table(spark, folder, "customer").select(
             F.concat(F.lit("people/topic-"), F.col("c_custkey").cast("string"), F.lit("-page.md")).alias("path")))
     return routing.missing_concepts(
-        found.select(F.explode("entities").alias("entity")), files, ["darshan"], extraction.KNOWN_TECH)
+        found.select(F.explode("entities").alias("entity")), files, ["harbor"], extraction.KNOWN_TECH)
 
 
 def related_notes(spark, folder):
@@ -342,11 +342,11 @@ _C = f"WITH {corpus.CAPTURES}"
 _SLUG = "'client' || user_id"
 _ROUTE = f"""routed AS (
   SELECT *, CASE event_type WHEN 'click' THEN CASE WHEN user_id = 8 THEN 'Client8' ELSE {_SLUG} END
-      WHEN 'view' THEN 'botseller' WHEN 'signup' THEN 'inbox'
+      WHEN 'view' THEN 'shopbot' WHEN 'signup' THEN 'inbox'
       WHEN 'purchase' THEN CASE WHEN user_id = 7 THEN 'inbox' ELSE 'my app' END ELSE 'inbox' END AS project,
     CASE event_type WHEN 'click' THEN CASE WHEN user_id = 8 THEN 'spec header → existing project ''Client8'''
         ELSE 'spec header → new project ''' || {_SLUG} || '''' END
-      WHEN 'view' THEN 'mentions known project ''botseller''' WHEN 'signup' THEN 'no confident project match'
+      WHEN 'view' THEN 'mentions known project ''shopbot''' WHEN 'signup' THEN 'no confident project match'
       WHEN 'purchase' THEN CASE WHEN user_id = 7 THEN 'no confident project match'
         ELSE 'mentions known project ''my app''' END
       ELSE 'too short to classify' END AS reason
@@ -465,7 +465,7 @@ ORACLE = {
         stems AS (SELECT lower(stem) AS stem FROM graph_nodes
           UNION SELECT 'topic-' || c_custkey || '-page' FROM customer),
         named AS (SELECT entity, replace(lower(entity), ' ', '-') AS slug FROM wanted
-          WHERE entity <> 'darshan'
+          WHERE entity <> 'harbor'
             AND (length(entity) >= 3 OR list_contains([{', '.join(f"'{t}'" for t in extraction.KNOWN_TECH)}], lower(entity))))
         SELECT entity, slug FROM named WHERE NOT EXISTS (SELECT 1 FROM stems WHERE contains(stem, slug))""",
     "related_notes": f"""WITH {BM25_SQL}, top AS (

@@ -182,7 +182,7 @@ KEEP_SNAPSHOTS = 50
 MIN_BODY = 15
 MIN_PROJECT_NAME = 4
 GENERIC_BUCKETS = [
-    "inbox", "research", "general", "global", "global-config", "misc", "nzt108-dev",
+    "inbox", "research", "general", "global", "global-config", "misc",
     "claude-config",
 ]
 SPEC_HEADERS = [
@@ -241,13 +241,14 @@ REPO_BANDS = [("high", 0.6), ("medium", 0.3)]
 DIGEST_MIN_SCORE = 0.5
 DIGEST_TOP = 5
 
-# The projects a found repository may help, by keyword.
+# Keywords by the kind of project a found repository may help.  The labels are
+# neutral; a user passes a table with the names of their own projects.
 APPLICABLE_PROJECTS = [
-    ("obsidian-second-mind", ["vault", "obsidian", "knowledge", "mcp", "ai-agent"]),
-    ("architect-portfolio", ["portfolio", "nextjs", "prisma", "admin", "dashboard"]),
-    ("brieftube", ["youtube", "video", "summary", "ai", "flutter"]),
-    ("fast-lending", ["landing", "saas", "template", "website"]),
-    ("botseller", ["telegram", "bot", "chatbot", "messaging"]),
+    ("knowledge-base", ["vault", "obsidian", "knowledge", "mcp", "ai-agent"]),
+    ("portfolio-site", ["portfolio", "nextjs", "prisma", "admin", "dashboard"]),
+    ("video-summaries", ["youtube", "video", "summary", "ai", "flutter"]),
+    ("landing-pages", ["landing", "saas", "template", "website"]),
+    ("chat-bots", ["telegram", "bot", "chatbot", "messaging"]),
 ]
 
 # --------------------------------------------------------------------------- source code

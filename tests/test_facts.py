@@ -33,8 +33,8 @@ def test_new_fact_closes_the_old(spark):
 
 
 def test_invalidate(spark):
-    held = said(spark, [(1, "brieftube", "uses_auth", "clerk", "2025-01-01", 1.0)]).withColumn("valid_to", F.lit(""))
-    ended = spark.createDataFrame([("Brieftube", "uses_auth", "Clerk", "2026-01-01")],
+    held = said(spark, [(1, "clipnote", "uses_auth", "clerk", "2025-01-01", 1.0)]).withColumn("valid_to", F.lit(""))
+    ended = spark.createDataFrame([("Clipnote", "uses_auth", "Clerk", "2026-01-01")],
                                   "subject string, predicate string, object string, ended string")
     row = facts.invalidate(held, ended).first()
     assert row.valid_to == "2026-01-01"
@@ -133,5 +133,5 @@ def test_migration_ends_the_specialised_fact(spark):
 
 
 def test_entities(spark):
-    df = spark.createDataFrame([("Going to use redis in Faithly, see [[Page One|x]]",)], "content string")
-    assert extraction.entities(df, projects=["faithly"]).first().entities == ["Page One", "faithly", "go", "redis"]
+    df = spark.createDataFrame([("Going to use redis in Lantern, see [[Page One|x]]",)], "content string")
+    assert extraction.entities(df, projects=["lantern"]).first().entities == ["Page One", "go", "lantern", "redis"]

@@ -28,7 +28,7 @@ def test_repo_reason_and_bands(spark, value):
     df = spark.createDataFrame([("MCP server", ["mcp"], "Python")], "description string, topics array<string>, language string")
     assert radar.score_repos(df).first().relevance_reason == "mcp: mcp; language: Python; MCP related"
     assert [value(radar.band(F.lit(s))) for s in (0.6, 0.3, 0.29)] == ["high", "medium", "other"]
-    assert value(radar.applicable_projects(F.lit("A Telegram bot"), F.array(F.lit("saas")))) == ["fast-lending", "botseller"]
+    assert value(radar.applicable_projects(F.lit("A Telegram bot"), F.array(F.lit("saas")))) == ["landing-pages", "chat-bots"]
 
 
 @pytest.mark.parametrize("name, text, want", [

@@ -51,7 +51,7 @@ def test_jaccard(value):
 
 
 @pytest.mark.parametrize("name, want", [
-    ("Тест", ""), ("KeyStack", "keystack"), ("Auto Transport", "auto-transport"), ("x", ""),
+    ("Тест", ""), ("KeyRing", "keyring"), ("Auto Transport", "auto-transport"), ("x", ""),
     ("«Big -- App»", "big-app"),
 ])
 def test_project_slug(value, name, want):
