@@ -1,15 +1,17 @@
 import pytest
 
 import __spark_entry__ as entry
+from notespark.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["bm25_topk", "chunk_documents", "facts_valid_to", "orphans", "pack_budget", "pending_changes"]
 
 
 def test_every_query_has_sql_but_one():
-    names, sqls = set(entry.queries()), set(entry.oracle_sql())
+    names, sqls = set(registry.queries()), set(registry.oracle_sql())
     assert sqls <= names
     assert names - sqls == {"hybrid_search"}
+    assert names <= set(entry.queries())
 
 
 def test_entry(spark):
