@@ -17,7 +17,7 @@ white space stays whole inside its piece.
 
 from __future__ import annotations
 
-import array
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEEP_PIECES = 600_000
+KEEP_PIECES = 400_000
 SLICE_BYTES = 6 << 20
 #: A single space between two characters that no reading of "white space" counts as such.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -37,6 +37,7 @@ class Encoder:
     """Ids of texts; ``separated``: the vocabulary ignores white space."""
 
     def __init__(self, path: str, separated: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,69 +47,81 @@ class Encoder:
 
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.flat = array.array("I")
-        self.ends = array.array("q", [0])
+        self.flat = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int32)
 
-    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each piece by itself."""
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each piece by itself, one after the other, and how many each has."""
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         between = f" {MARK} " if self.separated else MARK
-        alone = [
-            k for k, p in enumerate(pieces)
-            if MARK in p or not self.separated and (p[:1] != " " or p[-1:].isspace())
-        ] if len(mark) == 1 else list(range(len(pieces)))
-        apart = set(alone)
-        together = [k for k in range(len(pieces)) if k not in apart]
-        groups = [together[k:k + JOINED] for k in range(0, len(together), JOINED)]
-        out: list = [None] * len(pieces)
-        joined = self.tokenizer.encode_batch_fast(
-            [between.join(pieces[k] for k in group) for group in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, joined, strict=True):
-            ids, start = encoding.ids, 0
-            for k in group[:-1]:
-                end = ids.index(mark[0], start)
-                out[k] = ids[start:end]
-                start = end + 1
-            out[group[-1]] = ids[start:]
-        single = self.tokenizer.encode_batch_fast([pieces[k] for k in alone], add_special_tokens=False)
-        for k, encoding in zip(alone, single, strict=True):
-            out[k] = encoding.ids
-        return out
+        if len(mark) != 1:
+            alone = set(range(len(pieces)))
+        elif self.separated:
+            alone = {k for k, p in enumerate(pieces) if MARK in p}
+        else:
+            alone = {k for k, p in enumerate(pieces) if p[:1] != " " or p[-1:].isspace() or MARK in p}
+        order = [k for k in range(len(pieces)) if k not in alone]
+        texts = [between.join([pieces[k] for k in order[at:at + JOINED]]) for at in range(0, len(order), JOINED)]
+        ids: list[int] = []
+        for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids += encoding.ids
+            ids += mark
+        found = np.array(ids, np.uint32)
+        marks = np.flatnonzero(found == mark[0]) if order else np.zeros(0, np.int64)
+        counts = np.zeros(len(pieces), np.int32)
+        counts[order] = np.diff(np.concatenate(([-1], marks))) - 1
+        joined = np.delete(found, marks)
+        if not alone:
+            return joined, counts
+        single = sorted(alone)
+        parts = dict(zip(single, (e.ids for e in self.tokenizer.encode_batch_fast(
+            [pieces[k] for k in single], add_special_tokens=False)), strict=True))
+        counts[single] = [len(parts[k]) for k in single]
+        out, at, last = [], 0, 0
+        for k in single:
+            step = int(counts[last:k].sum())
+            out += [joined[at:at + step], np.array(parts[k], np.uint32)]
+            at, last = at + step, k + 1
+        return np.concatenate([*out, joined[at:]]), counts
 
     def _slots_of(self, pieces: list[str]) -> np.ndarray:
         """The slot of each piece; new pieces are encoded in one call.
 
         Slots of the pieces found first are kept; those beyond the bound live for one call.
         """
-        slots = self.slots
-        new = [p for p in pieces if p not in slots]
-        del self.ends[len(slots) + 1:], self.flat[self.ends[len(slots)]:]
-        passing: dict[str, int] = {}
-        for piece, ids in zip(new, self._ids_of(new) if new else [], strict=True):
-            keep = slots if len(slots) < KEEP_PIECES else passing
-            keep[piece] = len(self.ends) - 1
-            self.flat.extend(ids)
-            self.ends.append(len(self.flat))
-        if not passing:
-            return np.fromiter(map(slots.__getitem__, pieces), np.int64, len(pieces))
-        return np.fromiter((slots[p] if p in slots else passing[p] for p in pieces), np.int64, len(pieces))
+        kept = len(self.slots)
+        if len(self.ends) > kept + 1:
+            self.flat, self.ends = self.flat[:self.ends[kept]].copy(), self.ends[:kept + 1].copy()
+        found = list(map(self.slots.get, pieces))
+        new = [k for k, slot in enumerate(found) if slot is None]
+        if new:
+            texts = [pieces[k] for k in new]
+            ids, counts = self._ids_of(texts)
+            self.slots.update(zip(texts[:max(0, KEEP_PIECES - kept)], range(kept, KEEP_PIECES)))
+            for number, k in enumerate(new, kept):
+                found[k] = number
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts, dtype=np.int32)))
+            self.flat = np.concatenate((self.flat, ids))
+        return np.array(found, np.int32)
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
         if self.separated:
             lists = pc.ascii_split_whitespace(texts)
             units = lists.flatten().dictionary_encode()
-            pieces, index = units.dictionary.to_pylist(), np.asarray(units.indices)
+            pieces, index = _strings(units.dictionary), np.asarray(units.indices)
         else:
             lists, index, pieces = self._spaced(texts)
-        slot = self._slots_of(pieces)[index] if len(pieces) else np.zeros(0, np.int64)
-        ends = np.frombuffer(self.ends, np.int64).copy()
-        flat = np.frombuffer(self.flat, np.uint32).copy() if len(self.flat) else np.zeros(0, np.uint32)
-        lengths = ends[slot + 1] - ends[slot]
-        before = np.concatenate(([0], np.cumsum(lengths)))
-        ids = flat[np.repeat(ends[slot] - before[:-1], lengths) + np.arange(before[-1])]
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        return ids, np.diff(before[offsets - offsets[0]])
+        slot = self._slots_of(pieces)[index] if len(pieces) else np.zeros(0, np.int32)
+        starts = self.ends[slot]
+        lengths = self.ends[slot + 1] - starts
+        before = np.zeros(len(slot) + 1, np.int32)
+        np.cumsum(lengths, out=before[1:])
+        starts -= before[:-1]
+        at = np.repeat(starts, lengths)
+        at += np.arange(before[-1], dtype=np.int32)
+        offsets = np.asarray(lists.offsets)
+        return self.flat[at], np.diff(before[offsets - offsets[0]]).astype(np.int64)
 
     def _spaced(self, texts: pa.StringArray):
         """Pieces for a vocabulary whose words carry the space before them."""
@@ -116,21 +129,27 @@ class Encoder:
         if pc.all(plain).as_py() is not False:
             lists = pc.split_pattern(texts, " ")
         else:
-            lists = pa.array(
-                [_CUT.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+            lists = pa.array([_CUT.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
         units = lists.flatten().dictionary_encode()
         offsets = np.asarray(lists.offsets).astype(np.int64)
         offsets = offsets - offsets[0]
-        index = np.asarray(units.indices).astype(np.int64)
-        words = units.dictionary.to_pylist()
+        words = _strings(units.dictionary)
         pieces = [" " + w for w in words]
+        index = np.array(units.indices)
         heads = offsets[:-1][np.diff(offsets) > 0]
-        # the first piece of a text has no space before it
-        first = index[heads]
-        distinct, inverse = np.unique(first, return_inverse=True)
-        index = index.copy()
+        # the first piece of a text has no space before it; its number is that of a piece of its own
+        distinct, inverse = np.unique(index[heads], return_inverse=True)
         index[heads] = len(pieces) + inverse
-        return lists, index, pieces + [words[k] for k in distinct]
+        firsts = [words[k] for k in distinct]
+        taken = {p: k for k, p in enumerate(pieces)} if any(w[:1] == " " for w in firsts) else {}
+        if taken:
+            at = np.array([taken.get(w, len(pieces) + k) for k, w in enumerate(firsts)])
+            index[heads] = at[inverse]
+        return lists, index, pieces + firsts
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
