@@ -79,9 +79,10 @@ def shards(docs: DataFrame, count: int = SHARDS, seed: int = 11, text: str = "te
     written = staged(
         scattered.mapInArrow(_shuffled(seed), f"row {kind}, bucket int, place long"), "shuffle-buckets")
     sizes = written.groupBy("bucket").agg(F.count("*").alias("_rows"))
-    before = sizes.select(
+    # one row per bucket; staged, so that the join is planned by the size of its file
+    before = staged(sizes.select(
         "bucket", F.sum("_rows").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.sum("_rows").over(W.partitionBy()).alias("_all"))
+        F.sum("_rows").over(W.partitionBy()).alias("_all")), "shuffle-offsets")
     place = F.col("place") + F.coalesce("_before", F.lit(0))
     # the first `extra` shards have one row more than the others
     least, extra = F.floor(F.col("_all") / count), F.col("_all") % count
@@ -89,7 +90,6 @@ def shards(docs: DataFrame, count: int = SHARDS, seed: int = 11, text: str = "te
     shard = F.when(F.col("_at") < long_rows, F.floor(F.col("_at") / (least + 1))).otherwise(
         extra + F.floor((F.col("_at") - long_rows) / F.greatest(least, F.lit(1))))
     start = F.col("shard") * least + F.least(F.col("shard").cast("long"), extra)
-    # one row per bucket: its size follows the input's bytes by the bucket size
     return (
         written.join(before, "bucket").withColumn("_at", place).withColumn("shard", shard.cast("int"))
         .select("row", "bucket", "shard", (F.col("_at") - start).cast("long").alias("slot"))
