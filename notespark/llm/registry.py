@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from notespark.llm import exact_dedup, pack_windows, shuffle_shards, token_files
+from notespark.llm import exact_dedup, pack_windows, pii, shuffle_shards, token_files, toxicity
 
-MODULES = [token_files, pack_windows, shuffle_shards, exact_dedup]
+MODULES = [token_files, pack_windows, shuffle_shards, pii, exact_dedup, toxicity]
 
 
 def queries() -> dict:
