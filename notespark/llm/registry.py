@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from notespark.llm import exact_dedup, pack_windows, pii, quality_rules, shuffle_shards, simhash, token_files, toxicity
+from notespark.llm import (
+    exact_dedup,
+    pack_windows,
+    pii,
+    quality_rules,
+    shuffle_shards,
+    simhash,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 
-MODULES = [simhash, token_files, pack_windows, shuffle_shards, quality_rules, pii, exact_dedup, toxicity]
+MODULES = [simhash, token_files, pack_windows, shuffle_shards, quality_rules, pii, suffix_dedup, exact_dedup, toxicity]
 
 
 def queries() -> dict:
