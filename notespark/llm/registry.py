@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from notespark.llm import (
     exact_dedup,
+    mixing,
     pack_windows,
     pii,
     quality_rules,
@@ -14,7 +15,9 @@ from notespark.llm import (
     toxicity,
 )
 
-MODULES = [simhash, token_files, pack_windows, shuffle_shards, quality_rules, pii, suffix_dedup, exact_dedup, toxicity]
+MODULES = [
+    simhash, token_files, pack_windows, shuffle_shards, quality_rules, pii, suffix_dedup, exact_dedup, toxicity, mixing,
+]
 
 
 def queries() -> dict:
