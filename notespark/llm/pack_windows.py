@@ -181,14 +181,18 @@ def _merged(left: DataFrame, window: int) -> DataFrame:
         (place % window).alias("offset"))
 
 
+def digests(packed: DataFrame) -> DataFrame:
+    """The pieces with a checksum in place of their ids."""
+    return packed.select(
+        F.col("row.doc_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset")
+
+
 def op3_pack_windows(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into windows of 2048 ids."""
     import public_tokenizers
 
-    packed = pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select(
-        F.col("row.doc_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens", "sequence_id", "offset")
+    return digests(pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 QUERIES = {"op3_pack_windows": op3_pack_windows}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notespark.llm.common import batch_of, documents, staged
+from notespark.llm.common import batch_of, documents, staged, task_number
 from notespark.llm.components import stars
 
 SHINGLE = 4
@@ -68,20 +68,24 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def _prints(shingle: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = task_number() << 40
         for batch in batches:
             for k in range(0, len(batch), 1000):
                 part = batch.slice(k, 1000)
                 prints = np.array([fingerprint(t or "", shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield batch_of({"row": part.column(0), "print": pa.array(prints.view(np.int64))})
+                yield batch_of({
+                    "row": part.column(0), "print": pa.array(prints.view(np.int64)),
+                    "number": pa.array(np.arange(number, number + len(part)))})
+                number += len(part)
 
     return work
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, shingle: int = SHINGLE) -> DataFrame:
-    """``row`` and its ``print``, the 64 bits as a signed long."""
+    """``row``, its ``print`` (the 64 bits as a signed long) and a ``number`` of its own."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(_prints(shingle), f"row {rows.schema['row'].dataType.simpleString()}, print long")
+    return rows.mapInArrow(_prints(shingle), f"row {rows.schema['row'].dataType.simpleString()}, print long, number long")
 
 
 # ------------------------------------------------------------------- cutting the trie above
@@ -322,20 +326,39 @@ def links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
     return out
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None,
-                    shingle: int = SHINGLE, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
-    """Each row with its ``print`` and ``component_id``, the smallest id it is linked with."""
-    rows = staged(fingerprints(docs, text, keep, shingle), "simhash-prints")
+def _classes(rows: DataFrame, doc_id: str, budget: int, leaf: int) -> DataFrame:
+    """Each fingerprint with the ``root`` and the smallest id of its component."""
     distinct = staged(
         rows.groupBy("print").agg(F.min(F.col(f"row.`{doc_id}`")).alias("least")), "simhash-distinct")
     roots = staged(stars(links(distinct.select("print"), budget, leaf)), "simhash-roots")
     rooted = distinct.join(roots, F.col("print") == F.col("node"), "left").select(
-        "print", "least", F.coalesce("root", "print").alias("root"))
+        F.col("print").alias("_print"), "least", F.coalesce("root", "print").alias("root"))
     names = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    classes = rooted.join(names, F.col("root") == F.col("_root")).select(F.col("print").alias("_print"), "component_id")
+    return rooted.join(names, F.col("root") == F.col("_root")).select("_print", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None,
+                    shingle: int = SHINGLE, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+    """Each row with its ``print`` and ``component_id``, the smallest id it is linked with."""
+    rows = staged(fingerprints(docs, text, keep, shingle), "simhash-prints")
+    classes = _classes(rows, doc_id, budget, leaf)
     return rows.join(classes, F.col("print") == F.col("_print")).select("row", "print", "component_id")
 
 
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
+                    budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+    """One ``row`` of each component: that of the smallest id, any one of rows that share it."""
+    rows = staged(fingerprints(docs, text, None, shingle), "simhash-prints")
+    classes = _classes(rows, doc_id, budget, leaf)
+    own = F.col(f"row.`{doc_id}`")
+    placed = rows.select("number", "print", own.alias("_id")).join(classes, F.col("print") == F.col("_print"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "number")).alias("first"))
+    # the rows that go are fewer than those that stay; their numbers are joined by the size of their file
+    gone = staged(placed.select("number").join(
+        first.select(F.col("first.number").alias("number")), "number", "left_anti"), "simhash-gone")
+    return rows.join(gone, "number", "left_anti").select("row")
+
+
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with their fingerprint and near-duplicate component."""
     found = near_duplicates(documents(spark, folder), keep=("doc_id",))

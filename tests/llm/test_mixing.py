@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from notespark.llm import mixing as mx
 from tests_llm_data import ODD_TEXTS
 
-LEVELS = {"domain": F.substring("source", 1, 1), "language": F.col("lang"), "source": F.col("source")}
+
+def levels():
+    return {"domain": F.substring("source", 1, 1), "language": F.col("lang"), "source": F.col("source")}
 
 
 def fill(quota, nodes):
@@ -72,7 +74,7 @@ def test_against_brute_force(spark, mix):
     sources = ["a1", "a2", "b1", "b2", "c1"]
     rows = [(k, s[0], lang, s, (k * 37) % 23) for k in range(240)
             for s in [sources[min(k % 9, 4)]] for lang in ["en" if k % 3 else "de"]]
-    got = {(r["row"]["doc_id"], r["epoch"]): r["quota"] for r in mx.mixed(table_of(spark, rows), mix, LEVELS).collect()}
+    got = {(r["row"]["doc_id"], r["epoch"]): r["quota"] for r in mx.mixed(table_of(spark, rows), mix, levels()).collect()}
     assert got == brute(rows, mix)
 
 
@@ -87,14 +89,14 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
 def test_odd_rows_and_an_empty_table(docs):
     table = docs([*ODD_TEXTS, (None, "no id"), (3, "one text"), (3, "one text")]).withColumn("quota", F.lit("clash"))
     table = table.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
-    rows = mx.mixed(table, mx.Mix(share=5.0, epochs=2), LEVELS).collect()
+    rows = mx.mixed(table, mx.Mix(share=5.0, epochs=2), levels()).collect()
     assert len(rows) == 2 * (len(ODD_TEXTS) + 3)
     assert {r["epoch"] for r in rows} == {0, 1}
-    assert mx.mixed(docs([]), mx.Mix(), LEVELS).count() == 0
+    assert mx.mixed(docs([]), mx.Mix(), levels()).count() == 0
 
 
 def test_repeated_ids_are_taken_together(spark):
     rows = [(k % 5, "a", "en", "a1", 3) for k in range(100)]
-    got = mx.mixed(table_of(spark, rows), mx.Mix(share=0.5, epochs=1), LEVELS).groupBy("row.doc_id").count().collect()
+    got = mx.mixed(table_of(spark, rows), mx.Mix(share=0.5, epochs=1), levels()).groupBy("row.doc_id").count().collect()
     assert {r["count"] for r in got} == {20}
     assert len(got) == 2

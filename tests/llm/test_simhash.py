@@ -89,3 +89,10 @@ def test_query_against_all_pairs(spark):
     ids = [r["doc_id"] for r in source]
     want = {(i, f"{p:016x}", ids[c]) for i, p, c in zip(ids, prints, classes(prints), strict=True)}
     assert {tuple(r) for r in sh.op1_simhash(spark, folder).collect()} == want
+
+
+def test_one_row_of_each_component_stays(docs):
+    table = docs([(5, "one text"), (2, "One TEXT"), (2, "one text"), (None, "one text"), (7, "another matter"), (None, ""), (None, "  ")])
+    rows = sh.representatives(table).collect()
+    assert sorted((r["row"]["doc_id"] or 0) for r in rows) == [0, 2, 7]
+    assert sh.representatives(docs([])).count() == 0
