@@ -9,9 +9,10 @@ each half first.  A walk goes over pairs of nodes, adds up the bits in which the
 leaves a pair as soon as the half's budget is exceeded:
 
 1. above, the trie is cut into nodes of bounded size (``LEAF`` fingerprints), by counts per prefix;
-   pairs of cut nodes whose prefixes differ too much are dropped in a join on nearby prefixes;
+   pairs of cut nodes meet in a join on nearby prefixes;
 2. below, one task walks each surviving pair of subtrees, level by level, and compares what remains.
 
+The fingerprints of a cut node travel packed, ``LEAF`` in a row at most, so a pair of nodes is one row.
 A task gives a spanning forest of the links it finds, never all pairs, so a ball of many near copies
 costs as many rows as it has fingerprints.  No count of partners or candidates is capped.
 
@@ -267,37 +268,59 @@ def _link(prints: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, forest:
     forest.link(a[apart], b[apart])
 
 
-def _walks(budget: int, turned: bool):
-    """Walk each pair of subtrees; the rows of a partition are sorted by pair and side."""
-
-    def found(pair: tuple, sides: tuple) -> Iterator[pa.RecordBatch]:
-        if not sides[0] or not (sides[1] or pair[0] == pair[1]):
-            return
-        a, b = (np.sort(np.concatenate(s)) if s else np.zeros(0, np.uint64) for s in sides)
-        prints = np.concatenate((a, b))
-        root = walk(prints, len(a), budget, budget // 2)
-        moved = np.flatnonzero(root != np.arange(len(prints)))
-        if len(moved):
-            yield batch_of({
-                "a": pa.array(_turn(prints[moved], turned).view(np.int64)),
-                "b": pa.array(_turn(prints[root[moved]], turned).view(np.int64))})
+def _packed(leaf: int, turned: bool):
+    """The fingerprints of each node in rows of ``leaf`` at most; partitions are sorted by node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
+        node, held, part = None, [], 0
+
+        def row():
+            prints = np.sort(np.concatenate(held))
+            return batch_of({
+                "node": pa.array([node], pa.int64()), "part": pa.array([part], pa.int32()),
+                "prints": pa.array([prints.astype("<u8").tobytes()], pa.binary())})
+
         for batch in batches:
-            ours, theirs, side, prints = (np.asarray(batch.column(k)) for k in range(4))
-            change = np.flatnonzero(
-                (ours[1:] != ours[:-1]) | (theirs[1:] != theirs[:-1]) | (side[1:] != side[:-1])) + 1
-            edges = [0, *change.tolist(), len(batch)]
+            nodes, prints = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            edges = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), len(batch)]
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 if i == j:
                     continue
-                pair = (int(ours[i]), int(theirs[i]))
-                if pair != now:
-                    yield from found(now, sides)
-                    now, sides = pair, ([], [])
-                sides[int(side[i])].append(_turn(prints[i:j].view(np.uint64), turned))
-        yield from found(now, sides)
+                if held and nodes[i] != node:
+                    yield row()
+                    held, part = [], 0
+                elif nodes[i] != node:
+                    part = 0
+                node = int(nodes[i])
+                while i < j:
+                    room = leaf - sum(map(len, held))
+                    held.append(_turn(prints[i:min(j, i + room)], turned))
+                    i += room
+                    if sum(map(len, held)) == leaf:
+                        yield row()
+                        held, part = [], part + 1
+        if held:
+            yield row()
+
+    return work
+
+
+def _walks(budget: int, turned: bool):
+    """Walk the two subtrees of each row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, ours, theirs = (batch.column(k) for k in range(3))
+            for k in range(len(batch)):
+                a = np.frombuffer(ours[k].as_buffer(), "<u8")
+                b = a[:0] if same[k].as_py() else np.frombuffer(theirs[k].as_buffer(), "<u8")
+                prints = np.concatenate((a, b))
+                root = walk(prints, len(a), budget, budget // 2)
+                moved = np.flatnonzero(root != np.arange(len(prints)))
+                if len(moved):
+                    yield batch_of({
+                        "a": pa.array(_turn(prints[moved], turned).view(np.int64)),
+                        "b": pa.array(_turn(prints[root[moved]], turned).view(np.int64))})
 
     return work
 
@@ -316,11 +339,14 @@ def links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
         cuts = staged(_cut_nodes(halves, leaf), "simhash-cuts")
         pairs = staged(_node_pairs(cuts, budget // 2), "simhash-pairs")
         placed = _nodes_above(halves).join(cuts, ["depth", "prefix"]).select(
-            "print", _node(F.col("depth"), F.col("prefix")).alias("node"))
-        ours = placed.join(pairs, F.col("node") == F.col("ours")).withColumn("side", F.lit(0))
-        theirs = placed.join(pairs.where("ours <> theirs"), F.col("node") == F.col("theirs")).withColumn("side", F.lit(1))
-        names = ["ours", "theirs", "side", "print"]
-        dealt = ours.select(*names).unionByName(theirs.select(*names)).repartition("ours", "theirs").sortWithinPartitions(*names[:3])
+            _node(F.col("depth"), F.col("prefix")).alias("node"), "print")
+        packed = staged(placed.repartition("node").sortWithinPartitions("node").mapInArrow(
+            _packed(leaf, turned), "node long, part int, prints binary"), "simhash-packed")
+        ours = packed.select(F.col("node").alias("ours"), F.col("part").alias("i"), F.col("prints").alias("a"))
+        theirs = packed.select(F.col("node").alias("theirs"), F.col("part").alias("j"), F.col("prints").alias("b"))
+        one = F.col("ours") == F.col("theirs")
+        dealt = pairs.join(ours, "ours").join(theirs, "theirs").where(~one | (F.col("i") <= F.col("j"))).select(
+            (one & (F.col("i") == F.col("j"))).alias("same"), "a", "b")
         found = dealt.mapInArrow(_walks(budget, turned), "a long, b long")
         out = found if out is None else out.unionByName(found)
     return out
