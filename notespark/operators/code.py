@@ -33,7 +33,7 @@ def layer(path: Column | str) -> Column:
     return tx.first_rule(F.lower(tx.col(path)), vocab.LAYERS, vocab.OTHER_LAYER)
 
 
-def source_files(files: DataFrame, max_files: int | None = vocab.CODE_MAX_FILES) -> DataFrame:
+def source_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """Source files of each project: known suffixes, no hidden or built directories, and the
     first ``max_files`` by path when a limit is given."""
     dirs = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
@@ -90,7 +90,7 @@ def dart_imports(source: Column | str) -> Column:
     )
 
 
-def modules(files: DataFrame, max_files: int | None = vocab.CODE_MAX_FILES) -> DataFrame:
+def modules(files: DataFrame, max_files: int | None = None) -> DataFrame:
     """One row per source file with its layer, language, imports and number of lines.
 
     Only Python sources pass through the Python parser.

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notespark import vocab
-from notespark.session import broadcast_if_small, cut_lineage
-from notespark.scale import next_different, order_cuts, previous_value, running_sum, running_sums
+from notespark.session import cut_lineage
+from notespark.scale import next_different, previous_value, ranged, running_sum, running_sums
 
 
 def stated(subject: Column, predicate: Column, obj: Column) -> list[Column]:
@@ -24,7 +24,7 @@ def stated(subject: Column, predicate: Column, obj: Column) -> list[Column]:
     ]
 
 
-def with_valid_to(statements: DataFrame, order: str = "seq", cuts: Sequence | None = None) -> DataFrame:
+def with_valid_to(statements: DataFrame, order: str = "seq") -> DataFrame:
     """Add ``valid_to``: the start of the first later statement on the same subject and
     predicate with another object, empty while none has come.
 
@@ -32,7 +32,7 @@ def with_valid_to(statements: DataFrame, order: str = "seq", cuts: Sequence | No
     ranges of arrival.
     """
     closed = next_different(
-        statements, ["subject", "predicate"], order, "object", "valid_from", "_to", cuts
+        statements, ["subject", "predicate"], order, "object", "valid_from", "_to"
     )
     return closed.withColumn("valid_to", F.coalesce("_to", F.lit(""))).drop("_to")
 
@@ -43,7 +43,7 @@ def invalidate(facts: DataFrame, ended: DataFrame) -> DataFrame:
         F.lower("subject").alias("subject"), F.lower("predicate").alias("predicate"),
         F.lower("object").alias("object"),
     ).agg(F.min("ended").alias("_end"))
-    ends = broadcast_if_small(cut_lineage(ends))
+    ends = cut_lineage(ends)
     joined = facts.join(ends, ["subject", "predicate", "object"], "left")
     to = F.when((F.col("valid_to") == "") & F.col("_end").isNotNull(), F.col("_end")).otherwise(
         F.col("valid_to")
@@ -132,8 +132,7 @@ def check(facts: DataFrame, subject: str, predicate: str, obj: str, as_of: str,
     ).drop("_nc")
 
 
-def contradictions(facts: DataFrame, as_of: str, order: str = "seq",
-                   cuts: Sequence | None = None) -> DataFrame:
+def contradictions(facts: DataFrame, as_of: str, order: str = "seq") -> DataFrame:
     """Every active fact with the number of earlier active facts it contradicts, by severity.
 
     A fact contradicts the earlier facts on its subject and predicate that have another object:
@@ -143,10 +142,9 @@ def contradictions(facts: DataFrame, as_of: str, order: str = "seq",
     key = ["subject", "predicate"]
     high = (F.col("confidence") >= vocab.CRITICAL_CONFIDENCE).cast("int")
     active = facts.where(is_active(as_of)).select(*key, "object", order, "confidence")
-    cuts = order_cuts(active, F.col(order)) if cuts is None else cuts
-    counted = running_sums(active, key, order, {"_all": F.lit(1), "_high": high}, cuts)
+    counted = running_sums(ranged(active, order), key, order, {"_all": F.lit(1), "_high": high})
     counted = running_sums(
-        counted, [*key, "object"], order, {"_same": F.lit(1), "_same_high": high}, cuts
+        counted, [*key, "object"], order, {"_same": F.lit(1), "_same_high": high}
     )
     critical = F.when(high == 1, F.col("_high") - F.col("_same_high")).otherwise(F.lit(0))
     rest = F.col("conflicts") - F.col("critical")

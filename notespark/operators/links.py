@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from notespark.functions import text as tx
 from notespark.scale import top_per_key
-from notespark.session import broadcast_if_small, cut_lineage
+from notespark.session import cut_lineage
 
 
 def nodes(notes: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def undirected(all_edges: DataFrame) -> DataFrame:
 
 def _expand(both: DataFrame, frontier: DataFrame, seen: DataFrame) -> DataFrame:
     """Nodes one step from the frontier that were not seen before."""
-    step = both.join(broadcast_if_small(frontier.select(F.col("node").alias("a"))), "a", "left_semi")
+    step = both.join(frontier.select(F.col("node").alias("a")), "a", "left_semi")
     return step.select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
 
 
@@ -138,11 +138,12 @@ def neighbors(all_nodes: DataFrame, all_edges: DataFrame, start: str, depth: int
     )
 
 
-def shortest_path(all_edges: DataFrame, source: str, target: str, limit: int = 1000) -> DataFrame:
+def shortest_path(all_edges: DataFrame, source: str, target: str) -> DataFrame:
     """The undirected shortest path, as rows ``(step, node)``; empty when there is none.
 
     Of several shortest paths the one least in node order is returned: distances are found
-    from the target, then the path walks from the source, taking the least next node.
+    from the target, then the path walks from the source, taking the least next node.  The search
+    ends when it meets the source or has nowhere to go.
     """
     spark = all_edges.sparkSession
     both = cut_lineage(undirected(all_edges))
@@ -152,7 +153,7 @@ def shortest_path(all_edges: DataFrame, source: str, target: str, limit: int = 1
     frontier = spark.createDataFrame([(target,)], "node string")
     seen = frontier
     found = [frontier]
-    while len(found) <= limit:
+    while True:
         frontier = cut_lineage(_expand(both, frontier, seen))
         if frontier.isEmpty():
             return spark.createDataFrame([], schema)
@@ -217,6 +218,20 @@ def find_node(all_nodes: DataFrame, query: str) -> DataFrame:
     return all_nodes.where(exact | near).orderBy(exact.desc(), "path").limit(1)
 
 
+def neighbors_of(all_nodes: DataFrame, all_edges: DataFrame, query: str, depth: int = 1) -> DataFrame:
+    """:func:`neighbors` of the node that ``query`` names; without one, of nothing."""
+    found = find_node(all_nodes, query).first()  # one row at most
+    return neighbors(all_nodes, all_edges, found["node"] if found else "", depth)
+
+
+def find_path(all_nodes: DataFrame, all_edges: DataFrame, source: str, target: str) -> DataFrame:
+    """:func:`shortest_path` between the nodes that two queries name; empty if one names none."""
+    ends = [find_node(all_nodes, query).first() for query in (source, target)]
+    if None in ends:
+        return all_edges.sparkSession.createDataFrame([], "step int, node string")
+    return shortest_path(all_edges, ends[0]["node"], ends[1]["node"])
+
+
 def suggest_nodes(all_nodes: DataFrame, query: str, n: int = 5) -> DataFrame:
     """Nodes that share dash-separated words with ``query``."""
     words = F.array(*[F.lit(w) for w in dict.fromkeys(query.lower().split("-"))])

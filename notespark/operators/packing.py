@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from notespark import vocab
 from notespark.functions import text as tx
 from notespark.operators.code import suffix
-from notespark.scale import order_cuts, running_sum, top_per_key
+from notespark.scale import running_sum, top_per_key
 
 
 def packable(files: DataFrame) -> DataFrame:
@@ -87,8 +87,7 @@ def pack(files: DataFrame, mode: str = "compact", budget: int | None = None,
     # rank and path as one sortable key
     rows = rows.withColumn("_at", F.concat(rank.cast("string"), F.lit(" "), "path"))
     sizes = rows.select(*keys, "_at", "token_estimate")
-    cuts = order_cuts(sizes, F.col("_at"))
-    before = running_sum(sizes, list(keys), "_at", F.col("token_estimate"), "tokens_before", cuts)
+    before = running_sum(sizes, list(keys), "_at", F.col("token_estimate"), "tokens_before")
     taken = before.where(F.col("tokens_before") < budget).select(*keys, "_at", "tokens_before")
     return rows.join(taken, [*keys, "_at"]).drop("_at")
 

@@ -117,12 +117,12 @@ def trending(repos: DataFrame, since: str, min_stars: int = 50, topic: str = "al
              n: int = 20) -> DataFrame:
     """Most starred recent repositories, then ordered by relevance and stars.
 
-    A topic keeps repositories with one of its first five keywords.
+    A topic keeps repositories with one of its keywords.
     """
     rows = repos.where((F.col("created_at") > since) & (F.col("stars") >= min_stars))
     if topic != "all" and topic in vocab.REPO_TOPICS:
         text = F.lower(F.concat_ws(" ", "full_name", "description", F.concat_ws(" ", "topics")))
-        rows = rows.where(tx.contains_any(text, vocab.REPO_TOPICS[topic][:5]))
+        rows = rows.where(tx.contains_any(text, vocab.REPO_TOPICS[topic]))
     page = rows.orderBy(F.desc("stars"), "full_name").limit(n)
     return score_repos(page).orderBy(F.desc("relevance_score"), F.desc("stars"), "full_name")
 

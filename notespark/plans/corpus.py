@@ -15,13 +15,8 @@ from notespark import vocab
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; spread over the cores when it comes in fewer splits than there are.
-
-    On a large table there are more splits than cores and nothing is shuffled.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, read in the splits that the session's file settings make."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _text(*parts):

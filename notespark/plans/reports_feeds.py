@@ -498,9 +498,19 @@ ORACLE = {
         SELECT source AS topic, full_name, row_number() OVER (PARTITION BY source
           ORDER BY s DESC, n_chars DESC, full_name) AS rank FROM scored WHERE s >= 0.5) WHERE rank <= 5""",
     "trending_repos": f"""WITH {_score_sql()} SELECT full_name, n_chars AS stars, s AS relevance_score
-        FROM scored WHERE created_at > '2024-01-20' AND n_chars >= 1000 AND (contains(t, 'llm')
-          OR contains(t, 'artificial-intelligence') OR contains(t, 'machine-learning')
-          OR contains(t, 'gpt') OR contains(t, 'openai'))
+        FROM scored WHERE created_at > '2024-01-20' AND n_chars >= 1000 AND (contains(t, 'artificial-intelligence')
+          OR contains(t, 'machine-learning')
+          OR contains(t, 'llm')
+          OR contains(t, 'gpt')
+          OR contains(t, 'openai')
+          OR contains(t, 'langchain')
+          OR contains(t, 'rag')
+          OR contains(t, 'embeddings')
+          OR contains(t, 'vector-database')
+          OR contains(t, 'ai-agent')
+          OR contains(t, 'autonomous')
+          OR contains(t, 'deep-learning')
+          OR contains(t, 'transformer'))
         ORDER BY n_chars DESC, full_name LIMIT 20""",
     "applicable_projects": f"""WITH {_score_sql()} SELECT doc_id, concat_ws(',', {_APPLICABLE}) AS projects
         FROM scored""",

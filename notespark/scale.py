@@ -15,52 +15,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from notespark.functions.text import once
+from notespark.session import cut_lineage
 
-SAMPLE_PER_RANGE = 32
-MAX_RANGES = 1024
 
+def ranged(df: DataFrame, order: str) -> DataFrame:
+    """The rows cut by ``order`` into ranges of about equal size, numbered in ``_range``.
 
-def order_cuts(df: DataFrame, key: Column, ranges: int | None = None) -> list:
-    """Values of ``key`` that cut the rows into about equal ranges.
-
-    A count tells which share of the hash values gives a sample of bounded size; the cuts are
-    the same on every run.  They only steer balance: every row falls in exactly one range
-    whatever the cuts are.
+    Written to the shared folder once, so every later use sees the same ranges; several ordered
+    computations over one table should share one call.  There are as many ranges as the session
+    has shuffle partitions, less those AQE finds too small.
     """
-    if ranges is None:
-        ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    size = ranges * SAMPLE_PER_RANGE
-    keys = df.select(key.alias("_k")).where(F.col("_k").isNotNull())
-    rows = keys.count()
-    if rows > size:
-        below = -(2**63) + (2**64 * size) // rows
-        keys = keys.where(F.xxhash64("_k") < F.lit(below))
-    sample = sorted(row[0] for row in keys.distinct().limit(4 * size).collect())
-    cuts: list = []
-    for i in range(1, ranges):
-        at = i * len(sample) // ranges
-        if sample and (not cuts or sample[at] > cuts[-1]):
-            cuts.append(sample[at])
-    return cuts
-
-
-def range_of(key: Column, cuts: Sequence) -> Column:
-    """Number of the range ``key`` falls in, by a balanced tree of comparisons."""
-
-    def pick(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < F.lit(cuts[mid]), pick(low, mid)).otherwise(pick(mid + 1, high))
+    if "_range" in df.columns:
+        return df
+    return cut_lineage(df.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
 
-    return pick(0, len(cuts))
 
-
-def _ranged(df: DataFrame, order: str, cuts: Sequence | None) -> DataFrame:
-    cuts = order_cuts(df, F.col(order)) if cuts is None else cuts
-    # the key is compared many times, so it is computed below a generator, once
-    return once(df, _key=F.col(order)).withColumn("_range", range_of(F.col("_key"), cuts)).drop("_key")
+def _without_range(out: DataFrame, df: DataFrame) -> DataFrame:
+    """Ranges stay for the next computation where the caller made them."""
+    return out if "_range" in df.columns else out.drop("_range")
 
 
 def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,13 +51,12 @@ def running_sums(
     keys: Sequence[str],
     order: str,
     values: dict[str, Column],
-    cuts: Sequence | None = None,
 ) -> DataFrame:
     """Add columns: for each ``out: value`` the sum of ``value`` over the key's rows before
     this one.  ``order`` must be unique within a key."""
     on = [*keys, "_range"]
     outs = list(values)
-    rows = _ranged(df, order, cuts)
+    rows = ranged(df, order)
     for out in outs:
         rows = rows.withColumn(f"_v_{out}", values[out])
     before = W.partitionBy(*on).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -97,7 +68,7 @@ def running_sums(
     joined = _join_carry(rows, carry, keys)
     for out in outs:
         joined = joined.withColumn(out, F.col(f"_l_{out}") + F.coalesce(f"_c_{out}", F.lit(0)))
-    return joined.drop("_range", *[f"_{k}_{out}" for k in "vlc" for out in outs])
+    return _without_range(joined.drop(*[f"_{k}_{out}" for k in "vlc" for out in outs]), df)
 
 
 def running_sum(
@@ -106,10 +77,9 @@ def running_sum(
     order: str,
     value: Column,
     out: str,
-    cuts: Sequence | None = None,
 ) -> DataFrame:
     """:func:`running_sums` of one value."""
-    return running_sums(df, keys, order, {out: value}, cuts)
+    return running_sums(df, keys, order, {out: value})
 
 
 def previous_value(
@@ -118,21 +88,17 @@ def previous_value(
     order: str,
     value: str,
     out: str,
-    cuts: Sequence | None = None,
 ) -> DataFrame:
     """Add ``out``: ``value`` of the key's row just before this one, null on the first."""
     on = [*keys, "_range"]
-    rows = _ranged(df, order, cuts)
+    rows = ranged(df, order)
     rows = rows.withColumn("_local", F.lag(F.struct(value)).over(W.partitionBy(*on).orderBy(order)))
     last = rows.groupBy(*on).agg(F.max_by(F.struct(value), F.col(order)).alias("_last"))
     carry = last.select(
         *on, F.lag("_last").over(W.partitionBy(*keys).orderBy("_range")).alias("_carry")
     )
-    return (
-        _join_carry(rows, carry, keys)
-        .withColumn(out, F.coalesce("_local", "_carry")[value])
-        .drop("_range", "_local", "_carry")
-    )
+    joined = _join_carry(rows, carry, keys).withColumn(out, F.coalesce("_local", "_carry")[value])
+    return _without_range(joined.drop("_local", "_carry"), df)
 
 
 def next_different(
@@ -142,14 +108,13 @@ def next_different(
     value: str,
     taken: str,
     out: str,
-    cuts: Sequence | None = None,
 ) -> DataFrame:
     """Add ``out``: ``taken`` of the key's first later row whose ``value`` differs.
 
     Null when no later row differs.
     """
     on = [*keys, "_range"]
-    rows = _ranged(df, order, cuts)
+    rows = ranged(df, order)
     back = W.partitionBy(*on).orderBy(F.col(order).desc())
     so_far = back.rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_next", F.lag(F.struct(value, taken)).over(back))
@@ -183,11 +148,8 @@ def next_different(
         .rowsBetween(W.unboundedPreceding, 0)
     )
     carry = ends.select(*on, F.last("_direct", ignorenulls=True).over(backward).alias("_carry"))
-    return (
-        _join_carry(rows, carry, keys)
-        .withColumn(out, F.coalesce("_local", "_carry")["t"])
-        .drop("_range", "_local", "_carry")
-    )
+    joined = _join_carry(rows, carry, keys).withColumn(out, F.coalesce("_local", "_carry")["t"])
+    return _without_range(joined.drop("_local", "_carry"), df)
 
 
 def top_per_key(

@@ -1,4 +1,4 @@
-"""Session set-up and the two places where a plan meets the cluster: checkpoints and broadcasts."""
+"""Session set-up, and the folder where plans are cut."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "notespark", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,12 +29,14 @@ def get_spark(app: str = "notespark", master: str | None = None, **conf: str) ->
 
 
 def local_spark(cores: int = 8, app: str = "notespark-local") -> SparkSession:
-    """A local session for tests and the benchmark."""
+    """A local session for tests and the benchmark, with a checkpoint folder of its own."""
     return get_spark(
         app,
         master=f"local[{cores}]",
         **{
             "spark.sql.shuffle.partitions": str(cores),
+            "spark.sql.files.maxPartitionBytes": "4m",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="notespark-checkpoint-"),
             "spark.ui.enabled": "false",
             "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
             "spark.ui.showConsoleProgress": "false",
@@ -49,21 +50,17 @@ def local_spark(cores: int = 8, app: str = "notespark-local") -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests on one machine) a temporary folder is set.
+    Where none is named it is a folder of the warehouse, which a cluster shares too.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
     current = context.getCheckpointDir()
     if current:
         return current
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        named = tempfile.mkdtemp(prefix="notespark-checkpoint-")
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.checkpoint.dir", None
+    ) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
     context.setCheckpointDir(named)
-    return named
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -73,13 +70,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only when a count proves ``df`` has at most ``max_rows`` rows.
-
-    Beyond the bound the join is left to Spark, which shuffles and splits skewed keys.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

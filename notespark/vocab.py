@@ -281,7 +281,6 @@ CODE_SKIP_DIRS = [
     ".pytest_cache", ".gradle", "ios", "android", "macos", "linux", "windows",
     "web", ".idea", ".vscode",
 ]
-CODE_MAX_FILES = 200
 TS_IMPORT = (
     r"(?:import\s+.*?from\s+['\"]([^'\"]+)['\"]|"
     r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\))"

@@ -149,3 +149,21 @@ def test_front_matter(spark):
 def test_lint_of_a_project_may_link_to_others(spark):
     notes = vault(spark, note("a/x.md", "[[y]]"), note("b/y.md", "[[x]]"))
     assert [r.category for r in lint.in_order(lint.lint(notes, "2024-01-01", "a")).collect()] == ["orphan"]
+
+
+def test_a_long_chain_and_no_path(spark):
+    chain = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(40)] + [("x", "y")]
+    edges = spark.createDataFrame(chain, "source string, target string")
+    path = [r.node for r in links.shortest_path(edges, "n00", "n40").orderBy("step").collect()]
+    assert path == [f"n{k:02d}" for k in range(41)]
+    assert links.shortest_path(edges, "n00", "y").count() == 0
+
+
+def test_names_are_resolved(spark):
+    nodes = spark.createDataFrame(
+        [("auth-flow", "a.md", "Auth flow", "p"), ("billing", "b.md", "Billing", "p"), ("cache", "c.md", "Cache", "p")],
+        "node string, path string, title string, project string")
+    edges = spark.createDataFrame([("auth-flow", "billing"), ("billing", "cache")], "source string, target string")
+    assert [r.node for r in links.find_path(nodes, edges, "Auth", "cache").orderBy("step").collect()] == ["auth-flow", "billing", "cache"]
+    assert links.find_path(nodes, edges, "nothing", "cache").count() == 0
+    assert [r.node for r in links.neighbors_of(nodes, edges, "BILL").orderBy("node").collect()] == ["auth-flow", "cache"]

@@ -43,12 +43,23 @@ def test_running_sum_and_previous_value(spark):
 
 def test_ranges_balance_a_single_hot_key(spark):
     df = spark.range(10000).select(F.lit("hot").alias("k"), "id")
-    cuts = scale.order_cuts(df, F.col("id"), 8)
-    sizes = [r["count"] for r in df.groupBy(scale.range_of(F.col("id"), cuts)).count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 2500
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cut = scale.ranged(df, "id")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 5000
+    ends = cut.groupBy("_range").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("_range").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
 
 
-def test_order_cuts_of_nothing(spark):
+def test_computations_share_ranges(spark):
+    cut = scale.ranged(frame(spark, rows(300)), "seq")
+    both = scale.previous_value(scale.running_sum(cut, [], "seq", F.lit(1), "n"), [], "seq", "t", "o")
+    assert "_range" in both.columns
+    assert {r.seq: (r.n, r.o) for r in both.collect()} == {i: (i, f"d{i - 1}" if i else None) for i in range(300)}
+
+
+def test_ranges_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, seq long, v string, t string")
     assert scale.next_different(empty, ["k"], "seq", "v", "t", "o").count() == 0
 

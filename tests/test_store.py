@@ -123,14 +123,17 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     done = []
 
     def apply(todo, batch_id):
+        ids.append(batch_id)
         done.extend((r.ts, r.path) for r in todo.select("ts", "path").collect())
 
-    watch = watcher.Watcher(spark, state, apply)
+    ids, clock = [], [0.0]
+    watch = watcher.Watcher(spark, state, apply, clock=lambda: clock[0])
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
     query = watch.start(stream, str(tmp_path / "checkpoint"), availableNow=True)
     query.awaitTermination(120)
     assert query.exception() is None
-    watch.run(spark.createDataFrame([], EVENTS), 3, flush=True)
+    clock[0] = 2e9
+    watch.run(spark.createDataFrame([], EVENTS), max(ids) + 1)
     want = [(r.ts, r.path) for r in watcher.pending(watcher.with_period(all_events)).collect()]
     assert sorted(done) == sorted(want)
 
@@ -149,8 +152,41 @@ def test_watcher_keeps_the_index(spark, tmp_path):
     apply = watcher.apply_to_index(lambda changed: disk.join(changed, "path", "left_semi"), to_chunks, path)
     batch = events(spark, [(0, "p/a.md", "deleted"), (1, "p/b.md", "modified"), (2, "p/c.md", "created")])
     watch = watcher.Watcher(spark, str(tmp_path / "state"), apply)
-    watch.run(batch, 0, flush=True)
+    watch.run(batch, 0)
     want = {"p/b.md": "beta two", "p/c.md": "gamma"}
     assert index(spark, path) == want
-    watch.run(batch, 0, flush=True)  # a batch run again leaves the same table
+    watch.run(batch, 0)  # a batch run again leaves the same table
     assert index(spark, path) == want
+
+
+def test_a_quiet_vault_closes_its_last_period(spark, tmp_path):
+    done, clock = [], [1_700_000_000.5]
+
+    def apply(todo, batch_id):
+        done.append((batch_id, sorted((r.path, r.event_type, r.created) for r in todo.collect())))
+
+    log = str(tmp_path / "log")
+    watch = watcher.Watcher(spark, str(tmp_path / "state"), apply, log=log, clock=lambda: clock[0])
+    none = spark.createDataFrame([], EVENTS)
+    watch.run(events(spark, [(0, "a.md", "created"), (0.2, "b.md", "modified")]), 0)
+    clock[0] += 1
+    watch.run(events(spark, [(1.5, "a.md", "modified")]), 1)
+    clock[0] += 1
+    watch.run(none, 2)
+    clock[0] += 2
+    watch.run(none, 3)
+    watch.run(none, 4)
+    last = [("a.md", "modified", True), ("b.md", "modified", False)]
+    assert done == [(0, []), (1, []), (2, []), (3, last), (4, [])]
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch=3", "batch=4"]
+    assert spark.read.parquet(log).count() == 2
+
+
+def test_a_late_period_follows_the_open_one(spark, tmp_path):
+    done = []
+    watch = watcher.Watcher(
+        spark, str(tmp_path / "state"), lambda todo, _: done.append(sorted((r.period, r.path) for r in todo.collect())),
+        clock=lambda: 1_700_000_011.0)
+    watch.run(events(spark, [(10, "a.md", "created")]), 0)
+    watch.run(events(spark, [(20, "b.md", "created"), (30, "c.md", "created")]), 1)
+    assert done == [[], [(0, "a.md"), (1, "b.md")]]
