@@ -165,16 +165,38 @@ def chunk_stats(spark, folder):
     return search.index_stats(chunking.chunk_table(_document_notes(spark, folder)))
 
 
-def hybrid_search(spark, folder):
-    """The whole search on chunks of all documents, kept as a stored index table."""
+def _search(spark, folder, vector=True, **options):
+    """A search on chunks of all documents, kept as a stored index table."""
     rows = corpus.table(spark, folder, "embeddings")
-    chunks = chunking.chunk_table(_document_notes(spark, folder))
+    # the notes have a day of creation only; it counts as their last update
+    notes = _document_notes(spark, folder).withColumn("updated", F.coalesce("updated", "created"))
+    chunks = chunking.chunk_table(notes)
     doc = F.regexp_extract("source", r"doc-(\d+)\.md$", 1).cast("bigint")
     index = cut_lineage(
         chunks.withColumn("vec_id", doc).join(rows.select("vec_id", "embedding"), "vec_id", "left")
     )
-    query = vectors.vector_of(rows, "vec_id", 0)
-    return search.search(index, QUERY, query, "2025-06-01", n=10)
+    query = vectors.vector_of(rows, "vec_id", 0) if vector else None
+    return search.search(index, QUERY, query, "2025-06-01", n=10, **options).select(
+        F.col("rank").cast("bigint").alias("rank"), "text", "source", "project", "type",
+        F.array_join("tags", ",").alias("tags"), "section", "score", "search_method")
+
+
+def hybrid_search(spark, folder):
+    """The whole search: both legs, fusion, rerank, near-duplicates, diversity, decay."""
+    return _search(spark, folder)
+
+
+def hybrid_search_filtered(spark, folder):
+    """The whole search among notes of one project, type and tag."""
+    return _search(spark, folder, project="src7", note_type="note", tags=["en", "none"])
+
+
+def vector_only_search(spark, folder):
+    return _search(spark, folder, settings=search.SearchSettings(hybrid=False))
+
+
+def keyword_only_search(spark, folder):
+    return _search(spark, folder, vector=False)
 
 
 def project_counts(spark, folder):
@@ -220,7 +242,8 @@ QUERIES = {
     for f in [
         bm25_topk, bm25_filtered, bm25_index_topk, term_statistics, vector_topk, vector_filtered,
         rrf_fusion, dedup_greedy, mmr_select, lexical_rerank, decay_rank, parse_notes,
-        tag_filter_scan, chunk_documents, chunk_stats, hybrid_search, project_counts, project_list,
+        tag_filter_scan, chunk_documents, chunk_stats, hybrid_search, hybrid_search_filtered,
+        vector_only_search, keyword_only_search, project_counts, project_list,
         project_context, page_main_text, page_card, turn_similarity,
     ]
 }
@@ -290,6 +313,94 @@ chunks AS (
     regexp_replace(piece, '^\s+|\s+$', '', 'g') AS text
   FROM RECURSIVE_PIECES WHERE step > 0)"""
 
+_WORDS = "list_distinct(regexp_extract_all('{q}', '[a-z]+'))".format(q=QUERY)
+
+
+def _search_sql(legs: str = "both", where: str = "TRUE") -> str:
+    """The search stated on the chunks: scores over all chunks, filters before the cut."""
+    legs_sql = rf"""
+c AS (SELECT path || '::chunk_' || chunk_index AS chunk_id, path AS source, project, note_type AS type, tags,
+    section, text, created AS updated, doc_id, {TOKENS_SQL} AS toks FROM chunks JOIN notes USING (path)),
+c_stats AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM c),
+c_df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM c) GROUP BY term),
+c_raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM c_df, c_stats),
+c_idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM c_raw) ELSE idf END AS idf FROM c_raw),
+c_asked AS (SELECT term, count(*) AS times
+  FROM (SELECT unnest(regexp_extract_all('{QUERY}', '[a-z]+')) AS term) GROUP BY term),
+c_scored AS (
+  SELECT chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))) AS s
+  FROM (SELECT chunk_id, term, times, len(toks) AS dl, len(list_filter(toks, lambda x: x = term)) AS tf
+        FROM c, c_asked) t JOIN c_idf USING (term), c_stats
+  GROUP BY chunk_id HAVING sum(times * idf * tf) > 0),
+kw AS (SELECT row_number() OVER (ORDER BY s DESC, chunk_id) AS r, *
+  FROM (SELECT c.*, s FROM c JOIN c_scored USING (chunk_id) WHERE {where} ORDER BY s DESC, chunk_id LIMIT 30)),
+near AS (SELECT c.*, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+    (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS sim
+  FROM c JOIN embeddings ON vec_id = doc_id WHERE {where} ORDER BY sim DESC, chunk_id LIMIT 30),
+vec AS (SELECT row_number() OVER (ORDER BY round(sim, 4) DESC, chunk_id) AS r, * FROM near)"""
+    if legs == "both":
+        fused = """
+sides AS (SELECT 0 AS side, r, text, source, project, type, tags, section, updated FROM vec
+  UNION ALL SELECT 1, r, text, source, project, type, tags, section, updated FROM kw),
+fused AS (
+  SELECT text, sum(1.0::DOUBLE / (60 + r)) AS s, min(r) FILTER (side = 0) AS vr, max(r) FILTER (side = 1) AS br,
+    arg_min({'source': source, 'project': project, 'type': type, 'tags': tags, 'section': section, 'updated': updated},
+      side * 1000 + r) AS a
+  FROM sides GROUP BY text ORDER BY s DESC, vr NULLS LAST, br NULLS LAST LIMIT 30),
+placed AS (SELECT text, a.source, a.project, a.type, a.tags, a.section, a.updated,
+    concat_ws('+', 'vec#' || vr, 'bm25#' || br) AS method,
+    row_number() OVER (ORDER BY s DESC, vr NULLS LAST, br NULLS LAST) AS before FROM fused)"""
+    else:
+        side, label = ("vec", "vector") if legs == "vector" else ("kw", "bm25")
+        fused = f"""
+placed AS (SELECT text, source, project, type, tags, section, updated, '{label}' AS method, r AS before FROM {side})"""
+    reranked = f"""
+reranked AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, before) AS position
+  FROM (SELECT *, list_distinct({TOKENS_SQL}) AS toks,
+    len(list_intersect(list_distinct({TOKENS_SQL}), {_WORDS})) / len({_WORDS})::DOUBLE AS score FROM placed))"""
+    head = f"WITH RECURSIVE {corpus.DOCUMENT_NOTES}, {_CHUNKS}, {legs_sql}, {fused}, {reranked}"
+    out = "text, source, project, type, array_to_string(tags, ',') AS tags, section"
+    if legs != "both":
+        return f"""{head}
+        SELECT row_number() OVER (ORDER BY score DESC, position) AS rank, {out}, round(score, 4) AS score,
+          method || '+rerank' AS search_method
+        FROM (SELECT * FROM reranked ORDER BY score DESC, position LIMIT 10)"""
+    jaccard = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE " + _JACCARD + " END"
+    return f"""{head},
+        walk AS (
+          SELECT 1 AS position, [position] AS kept, [toks] AS kept_toks FROM reranked WHERE position = 1
+          UNION ALL
+          SELECT h.position,
+            CASE WHEN ok THEN list_append(kept, h.position) ELSE kept END,
+            CASE WHEN ok THEN list_append(kept_toks, h.toks) ELSE kept_toks END
+          FROM (SELECT w.kept, w.kept_toks, h.position, h.toks,
+              list_max(list_transform(w.kept_toks, lambda s: {jaccard.format(a='h.toks', b='s')})) < 0.85 AS ok
+            FROM walk w JOIN reranked h ON h.position = w.position + 1) h),
+        kept AS (SELECT unnest(kept) AS position FROM (SELECT kept FROM walk ORDER BY position DESC LIMIT 1)),
+        gains AS (SELECT position, toks, (score - min(score) OVER ())
+            / coalesce(nullif(max(score) OVER () - min(score) OVER (), 0), 1.0) AS gain
+          FROM reranked JOIN kept USING (position)),
+        sims AS (SELECT a.position AS a, b.position AS b, {jaccard.format(a='a.toks', b='b.toks')} AS sim
+          FROM gains a JOIN gains b ON a.position <> b.position),
+        pick AS (
+          SELECT 1 AS n, [(SELECT arg_max(position, {{'v': gain, 'p': -position}}) FROM gains)] AS taken
+          UNION ALL
+          SELECT n + 1, list_append(taken, next) FROM (
+            SELECT w.n, w.taken, (
+              SELECT arg_max(position, {{'v': round(value, 9), 'p': -position}}) FROM (
+                SELECT s.a AS position, 0.7 * any_value(g.gain) - 0.3 * max(s.sim) AS value
+                FROM sims s JOIN gains g ON g.position = s.a
+                WHERE list_contains(w.taken, s.b) AND NOT list_contains(w.taken, s.a) GROUP BY s.a)) AS next
+            FROM pick w WHERE w.n < least(10, (SELECT count(*) FROM gains)))),
+        chosen AS (SELECT unnest(taken) AS position FROM (SELECT taken FROM pick ORDER BY n DESC LIMIT 1)),
+        aged AS (SELECT * REPLACE (CASE WHEN score > 0 THEN score * exp(-0.005 * greatest(0,
+            date_diff('day', CAST(updated AS DATE), DATE '2025-06-01'))) ELSE score END AS score)
+          FROM reranked JOIN chosen USING (position))
+        SELECT row_number() OVER (ORDER BY score DESC, position) AS rank, {out}, round(score, 4) AS score,
+          method || '+rerank+mmr+decay' AS search_method FROM aged"""
+
+
 ORACLE = {
     "bm25_topk": f"""WITH {BM25_SQL}
         SELECT row_number() OVER (ORDER BY raw_score DESC, doc_id) AS rank, doc_id,
@@ -379,6 +490,11 @@ ORACLE = {
         SELECT count(*) AS total_chunks, count(DISTINCT path) AS total_notes,
           (SELECT count(DISTINCT project) FROM notes) AS projects,
           (SELECT count(DISTINCT note_type) FROM notes) AS types FROM chunks""",
+    "hybrid_search": _search_sql(),
+    "hybrid_search_filtered": _search_sql(
+        where="project = 'src7' AND type = 'note' AND list_has_any(tags, ['en', 'none'])"),
+    "vector_only_search": _search_sql("vector"),
+    "keyword_only_search": _search_sql("keyword"),
     "project_counts": f"""WITH {corpus.DOCUMENT_NOTES}
         SELECT project, count(*) AS notes,
           array_to_string(list_sort(list(DISTINCT note_type)), ', ') AS types

@@ -7,10 +7,9 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["bm25_topk", "chunk_documents", "facts_valid_to", "orphans", "pack_budget", "pending_changes"]
 
 
-def test_every_query_has_sql_but_one():
+def test_every_query_has_sql():
     names, sqls = set(registry.queries()), set(registry.oracle_sql())
-    assert sqls <= names
-    assert names - sqls == {"hybrid_search"}
+    assert sqls == names
     assert names <= set(entry.queries())
 
 
