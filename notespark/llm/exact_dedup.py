@@ -18,7 +18,7 @@ table gives an empty result; other columns, whatever their names, come back insi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
@@ -99,138 +99,113 @@ def _best(doc_id: int | None, row_no: int) -> tuple:
     return (doc_id is not None, doc_id or 0, row_no)
 
 
-LEVEL = "rep long, h long, content binary, n long, best_id long, best_row long"
-
-
-def _level_batch(fold: Fold, reps: list[int]) -> pa.RecordBatch:
-    return batch_of({
-        "rep": pa.array(reps, pa.int64()),
-        "h": pa.array([h - (1 << 63) for h in fold.table.hashes], pa.int64()),
-        "content": pa.array(fold.table.contents, pa.binary()),
-        "n": pa.array(fold.counts, pa.int64()),
-        "best_id": pa.array([b[1] if b[0] else None for b in fold.best], pa.int64()),
-        "best_row": pa.array([b[2] for b in fold.best], pa.int64()),
-    })
+def _id_of(best: tuple) -> int | None:
+    return best[1] if best[0] else None
 
 
 def _scan(text_at: str, id_at: str, limit: int):
-    """First level: number the rows, hash and fold their contents flush by flush."""
+    """First level: number the rows, hash and fold their contents flush by flush.
+
+    Of equal contents in a flush the best row stands for the others: it has the hash and the count.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = task_number() << 40
-        number = 0
+        number = task_number() << 40
         for batch in batches:
             row = batch.column(0)
             texts, ids = row.field(text_at), row.field(id_at).cast(pa.int64())
             start = 0
             while start < len(batch):
-                fold, reps, first, shas = Fold(), [], [], []
-                of_row, at = [], start
+                fold, shas, of_row, at = Fold(), [], [], start
                 while at < len(batch) and not fold.full(limit):
                     content = (texts[at].as_py() or "").encode().lower()
-                    h = xxhash.xxh64_intdigest(content)
-                    row_no = base + number
-                    entry, new = fold.add(h, content, 1, _best(ids[at].as_py(), row_no))
+                    entry, new = fold.add(
+                        xxhash.xxh64_intdigest(content), content, 1, _best(ids[at].as_py(), number + at - start))
                     if new:
-                        reps.append(row_no)
                         shas.append(hashlib.sha256(content).digest())
                     of_row.append(entry)
-                    first.append(new)
-                    number, at = number + 1, at + 1
-                rep = [reps[e] for e in of_row]
-
-                def own(values):
-                    return [values[e] if new else None for e, new in zip(of_row, first, strict=True)]
-
+                    at += 1
+                rep = [fold.best[e][2] for e in of_row]
+                numbers = range(number, number + at - start)
+                own = [r == k for r, k in zip(rep, numbers, strict=True)]
                 yield batch_of({
                     "row": row.slice(start, at - start),
-                    "row_no": pa.array(range(base + number - (at - start), base + number), pa.int64()),
+                    "row_no": pa.array(numbers, pa.int64()),
                     "rep": pa.array(rep, pa.int64()),
                     "sha": pa.array([shas[e] for e in of_row], pa.binary()),
-                    "h": pa.array(own([h - (1 << 63) for h in fold.table.hashes]), pa.int64()),
-                    "n": pa.array(own(fold.counts), pa.int64()),
-                    "best_id": pa.array([v[1] if v and v[0] else None for v in own(fold.best)], pa.int64()),
-                    "best_row": pa.array([v[2] if v else None for v in own(fold.best)], pa.int64()),
+                    "h": pa.array([fold.table.hashes[e] - (1 << 63) if o else None for e, o in zip(of_row, own, strict=True)], pa.int64()),
+                    "n": pa.array([fold.counts[e] if o else None for e, o in zip(of_row, own, strict=True)], pa.int64()),
+                    "best_id": pa.array([_id_of(fold.best[e]) if o else None for e, o in zip(of_row, own, strict=True)], pa.int64()),
                 })
-                start = at
+                number, start = number + at - start, at
 
     return work
 
 
-def _fold_tasks(limit: int, whole: bool):
+def _fold_tasks(text_at: str, limit: int, whole: bool):
     """Fold each bucket of a partition that is sorted by bucket.
 
     ``whole``: one table per bucket, which is known to fit.  Otherwise the table is flushed when
-    full, and what comes out is a smaller level.  Gives, for each record, the record it joined.
+    full, and what comes out is a smaller level.  Gives, for each record, the record it joined, and
+    the row of the record that stands for the others.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, bucket, members = Fold(), None, []
+        fold, bucket, members, rows, stands = Fold(), None, [], {}, {}
 
         def flush():
-            reps: list[int] = [-1] * len(fold.table)
-            for rep, entry in members:
-                if reps[entry] < 0:
-                    reps[entry] = rep
-            level = _level_batch(fold, reps)
-            firsts = {rep: k for k, rep in enumerate(reps)}
-            take = pa.array([firsts.get(rep) for rep, _ in members], pa.int64())
+            kept = [rows[fold.best[e][2]] if fold.best[e][2] == rep else None for rep, e in members]
+            at = {k: n for n, k in enumerate(k for k, row in enumerate(kept) if row is not None)}
+            held = pa.concat_arrays([row for row in kept if row is not None])
+            best = [fold.best[e] for _, e in members]
             return batch_of({
                 "old": pa.array([rep for rep, _ in members], pa.int64()),
-                "into": pa.array([reps[entry] for _, entry in members], pa.int64()),
-                "of_n": pa.array([fold.counts[entry] for _, entry in members], pa.int64()),
-                "of_id": pa.array([fold.best[e][1] if fold.best[e][0] else None for _, e in members], pa.int64()),
-                "of_row": pa.array([fold.best[e][2] for _, e in members], pa.int64()),
-                "h": level.column("h").take(take),
-                # a table that holds a whole bucket is final; its contents are not needed again
-                "content": pa.nulls(len(members), pa.binary()) if whole else level.column("content").take(take),
+                "into": pa.array([b[2] for b in best], pa.int64()),
+                "of_n": pa.array([fold.counts[e] for _, e in members], pa.int64()),
+                "of_id": pa.array([_id_of(b) for b in best], pa.int64()),
+                "h": pa.array([fold.table.hashes[e] - (1 << 63) for _, e in members], pa.int64()),
+                "row": held.take(pa.array([at.get(k) for k in range(len(kept))], pa.int64())),
             })
 
         for batch in batches:
             c = {name: batch.column(name) for name in batch.schema.names}
+            texts = c["row"].field(text_at)
             for k in range(len(batch)):
                 b = c["bucket"][k].as_py()
                 if members and (b != bucket or not whole and fold.full(limit)):
                     yield flush()
-                    fold, members = Fold(), []
+                    fold, members, rows, stands = Fold(), [], {}, {}
                 bucket = b
-                content = c["content"][k].as_py().lower()
-                entry, _ = fold.add(
-                    c["h"][k].as_py() + (1 << 63), content, c["n"][k].as_py(),
-                    _best(c["best_id"][k].as_py(), c["best_row"][k].as_py()))
-                members.append((c["rep"][k].as_py(), entry))
+                rep, content = c["rep"][k].as_py(), (texts[k].as_py() or "").encode().lower()
+                h = c["h"][k].as_py() + (1 << 63)
+                entry, _ = fold.add(h, content, c["n"][k].as_py(), _best(c["best_id"][k].as_py(), rep))
+                if fold.best[entry][2] == rep:
+                    # a copy, so that the batch it came in is not held
+                    rows.pop(stands.get(entry), None)
+                    rows[rep] = c["row"].take(pa.array([k]))
+                    stands[entry] = rep
+                members.append((rep, entry))
         if members:
             yield flush()
 
     return work
 
 
-FOLDED = "old long, into long, of_n long, of_id long, of_row long, h long, content binary"
-
-
-def _as_level(folded: DataFrame) -> DataFrame:
-    return folded.where("old = into").select(
-        F.col("into").alias("rep"), "h", "content", F.col("of_n").alias("n"),
-        F.col("of_id").alias("best_id"), F.col("of_row").alias("best_row"))
-
-
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Each row with the fate of its group of equal texts.
+def _grace(docs: DataFrame, text: str, doc_id: str, bucket_bytes: int, carried: Sequence[str]):
+    """The scanned rows, and what became of the record that stands for each.
 
-    Returns ``row`` (the input row), ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+    ``carried``: the columns that travel with a record; the text is always one of them.
     """
     rows = as_rows(docs)
     kind = rows.schema["row"].dataType.simpleString()
     members = staged(
         rows.mapInArrow(
             _scan(text, doc_id, bucket_bytes // 2),
-            f"row {kind}, row_no long, rep long, sha binary, h long, n long, best_id long, best_row long"),
-        "grace-scan")
-    content = F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary")
-    level = members.where("n IS NOT NULL").select(
-        "rep", "h", content.alias("content"), "n", "best_id", "best_row")
-    weigh = F.sum(F.octet_length("content") + 64)
+            f"row {kind}, row_no long, rep long, sha binary, h long, n long, best_id long"), "grace-scan")
+    record = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in carried])
+    level = members.where("n IS NOT NULL").select("rep", "h", record.alias("row"), "n", "best_id")
+    folded_as = f"old long, into long, of_n long, of_id long, h long, row {level.schema['row'].dataType.simpleString()}"
+    weigh = F.sum(F.coalesce(F.octet_length(F.col(f"row.`{text}`")), F.lit(0)) + 64)
     total = level.agg(weigh).first()[0] or 0
     buckets = max(1, -(-2 * total // bucket_bytes))
     level = level.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)).cast("string"))
@@ -252,26 +227,42 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             "bucket", F.concat_ws("/", "bucket", F.pmod(fresh, parts.cast("long")).cast("string")))
         folded = staged(
             split.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(depth)), salts))
-            .select("rep", "h", "content", "n", "best_id", "best_row",
-                    F.concat_ws("#", "bucket", "salt").alias("bucket"))
+            .select("rep", "h", "row", "n", "best_id", F.concat_ws("#", "bucket", "salt").alias("bucket"))
             .repartition(F.col("bucket")).sortWithinPartitions("bucket")
-            .mapInArrow(_fold_tasks(bucket_bytes, False), FOLDED), "grace-level")
-        names = split.select("rep", "bucket")
-        level = _as_level(folded).join(names, "rep")
+            .mapInArrow(_fold_tasks(text, bucket_bytes, False), folded_as), "grace-level")
+        level = folded.where("old = into").select(
+            F.col("into").alias("rep"), "h", "row", F.col("of_n").alias("n"), F.col("of_id").alias("best_id")
+        ).join(split.select("rep", "bucket"), "rep")
         moved.append(folded.where("old <> into").select("old", "into"))
-    for k, part in enumerate(done):
-        part = part.select("rep", "h", "content", "n", "best_id", "best_row", "bucket")
-        done[k] = part if k == 0 else done[k - 1].unionByName(part)
-    final = staged(
-        done[-1].repartition(F.col("bucket")).sortWithinPartitions("bucket")
-        .mapInArrow(_fold_tasks(bucket_bytes, True), FOLDED)
-        .select("old", "of_n", "of_id", "of_row"), "grace-final")
+    names = ["rep", "h", "row", "n", "best_id", "bucket"]
+    fitting = done[0].select(*names)
+    for part in done[1:]:
+        fitting = fitting.unionByName(part.select(*names))
+    final = fitting.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(
+        _fold_tasks(text, bucket_bytes, True), folded_as)
+    return members, moved, final
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Each row with the fate of its group of equal texts.
+
+    Returns ``row`` (the input row), ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
+    """
+    members, moved, final = _grace(docs, text, doc_id, bucket_bytes, [text])
+    final = staged(final.select("old", "into", "of_n", "of_id"), "grace-final")
     for step in moved:
         members = members.join(step, F.col("rep") == F.col("old"), "left").withColumn(
             "rep", F.coalesce("into", "rep")).drop("old", "into")
     return members.join(final, F.col("rep") == F.col("old")).select(
         "row", F.col("of_id").alias("keep_id"), F.col("of_n").alias("group_size"),
-        (F.col("row_no") == F.col("of_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        (F.col("row_no") == F.col("into")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def unique(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows that :func:`deduplicate` keeps, as they leave the tables: ``row``."""
+    _, _, final = _grace(docs, text, doc_id, bucket_bytes, docs.columns)
+    return final.where("old = into").select("row")
 
 
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,6 +36,9 @@ def test_against_brute_force_at_any_bucket_size(docs, bucket_bytes, monkeypatch)
     assert found == brute([(k + 1, t) for k, t in enumerate(texts)])
     kept = [r["row"]["doc_id"] for r in rows if r["kept"]]
     assert sorted(kept) == sorted({k for _, k, _, _ in found})
+    stay = ed.unique(table, bucket_bytes=bucket_bytes).collect()
+    assert sorted(r["row"]["doc_id"] for r in stay) == sorted(kept)
+    assert {(r["row"]["doc_id"], r["row"]["text"]) for r in stay} == {(k, texts[k - 1]) for k in kept}
 
 
 def test_odd_texts_ties_and_an_empty_table(docs):
@@ -46,7 +49,8 @@ def test_odd_texts_ties_and_an_empty_table(docs):
     ties = [r for r in rows if r["row"]["text"] == "tie"]
     assert sorted(r["kept"] for r in ties) == [False, False, True]
     assert [r["kept"] for r in rows if r["row"]["text"] == "alone"] == [True]
-    assert ed.deduplicate(docs([])).count() == 0
+    assert ed.deduplicate(docs([])).count() == ed.unique(docs([])).count() == 0
+    assert ed.unique(docs(pairs)).count() == len({r["text_sha256"] for r in rows})
 
 
 def test_equal_hashes_are_not_equal_contents():
