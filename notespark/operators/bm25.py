@@ -129,7 +129,7 @@ def build_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Write postings ordered by term, term statistics and document lengths.
+    """Write postings ordered by term, term statistics, document lengths and a row of totals.
 
     Range partitions on (term, key) keep a frequent term in several files, and sorting lets
     Parquet skip all row groups without a query's terms.
@@ -141,11 +141,16 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     lengths = docs.select(key, F.size(tx.tokens(text)).alias("length"))
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    n = docs.sparkSession.read.parquet(f"{path}/lengths").count()
+    totals = docs.sparkSession.read.parquet(f"{path}/lengths").agg(
+        F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length"))
+    n = totals.first()["documents"]
     terms = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms.withColumn("idf", _idf(float(n), F.col("df"))).repartitionByRange("term").write.mode(
         "overwrite"
     ).parquet(f"{path}/terms")
+    mean = docs.sparkSession.read.parquet(f"{path}/terms").agg(
+        F.avg("idf").alias("mean_idf"), F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"))
+    totals.crossJoin(mean).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")  # a row each
 
 
 def search_postings(
@@ -157,13 +162,19 @@ def search_postings(
     n: int = 10,
     key: str = "doc_id",
     p: BM25 = BM25(),
+    mean_idf: float | None = None,
 ) -> DataFrame:
-    """Best ``n`` document keys for a query from postings; reads only the query's terms."""
+    """Best ``n`` document keys for a query from postings; reads only the query's terms.
+
+    ``mean_idf`` is asked for by terms in more than half the documents; without it all terms are read.
+    """
     counts = Counter(tx.query_tokens(query))
     found = terms.where(F.col("term").isin(list(counts))).select("term", "df").collect()
     idf = {row["term"]: _idf(documents, row["df"]) for row in found}
     if any(value < 0 for value in idf.values()):
-        mean = terms.agg(F.avg(_idf(float(documents), F.col("df")))).first()[0]
+        mean = mean_idf
+        if mean is None:
+            mean = terms.agg(F.avg(_idf(float(documents), F.col("df")))).first()[0]
         idf = {t: p.epsilon * mean if value < 0 else value for t, value in idf.items()}
     factor = F.when(F.lit(False), F.lit(0.0))
     for term, value in sorted(idf.items()):
@@ -178,11 +189,8 @@ def search_postings(
 
 def search_index(spark, path: str, query: str, n: int = 10, key: str = "doc_id") -> DataFrame:
     """:func:`search_postings` on an index written by :func:`write_index`."""
-    stats = (
-        spark.read.parquet(f"{path}/lengths")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("l")).first()
-    )
+    totals = spark.read.parquet(f"{path}/totals").first()
     return search_postings(
         spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-        stats["n"], stats["l"], query, n, key,
+        totals["documents"], totals["mean_length"], query, n, key, mean_idf=totals["mean_idf"],
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from notespark import vocab
@@ -10,7 +12,7 @@ from notespark.functions.versions import clean_version, update_type
 from notespark.operators import bm25, code, dependencies, extraction, facts, packing, radar, routing
 from notespark.plans import corpus
 from notespark.plans.reports_search import BM25_SQL, QUERY
-from notespark.session import cut_lineage
+from notespark.session import checkpoint_dir, cut_lineage
 from notespark.sources import vault
 from notespark.streaming import watcher
 
@@ -313,6 +315,52 @@ def period_counts(spark, folder):
     return watcher.period_counts(watcher.pending(watcher.with_period(events, QUIET)))
 
 
+def watcher_replay(spark, folder):
+    """The events through the watcher in three micro-batches and an empty one: what it applies.
+
+    The clock stands at the last event of a batch, so periods go on across batches, and moves on for
+    the empty one, which closes the last period.
+    """
+    events = corpus.file_events(spark, folder)
+    seconds = F.unix_micros("ts") / 1e6
+    ends = events.agg(*[F.percentile(seconds, q).alias(f"q{k}") for k, q in enumerate((0.0, 0.3, 0.6, 1.0))]).first()
+    done, clock = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}", [0.0]
+
+    def apply(todo, batch_id):
+        todo.write.mode("overwrite").parquet(f"{done}/part-{batch_id}")
+
+    watch = watcher.Watcher(spark, f"{done}/state", apply, QUIET, clock=lambda: clock[0])
+    for k in range(3):
+        low = seconds > ends[k] if k else seconds >= ends[k]
+        clock[0] = ends[k + 1]
+        watch.run(events.where(low & (seconds <= ends[k + 1])), k)
+    clock[0] += 2 * QUIET
+    watch.run(events.where(F.lit(False)), 3)
+    applied = spark.read.parquet(*[f"{done}/part-{k}" for k in range(4)])
+    return applied.select("path", "event_type", "created", F.unix_micros("ts").alias("ts"))
+
+
+def note_ages(spark, folder):
+    """How long before the end of the log each event was, as a label."""
+    events = corpus.table(spark, folder, "events")
+    end = events.agg(F.max(F.col("ts").cast("timestamp")).alias("end"))  # one row
+    return events.join(F.broadcast(end), F.lit(True)).select(
+        "event_id", tx.age_label(F.col("ts").cast("timestamp"), F.col("end")).alias("age"))
+
+
+def escaped_pages(spark, folder):
+    pages = corpus.table(spark, folder, "pages")
+    return pages.select("page_id", F.md5(tx.escape_html("html").cast("binary")).alias("escaped_md5"))
+
+
+def guarded_paths(spark, folder):
+    """Which paths made of part names and steps up stay inside their root."""
+    parts = corpus.table(spark, folder, "part")
+    up = F.repeat(F.lit("../"), F.pmod(F.col("p_partkey"), F.lit(4)).cast("int"))
+    start = F.when(F.col("p_partkey") % 5 == 0, F.lit("/")).when(F.col("p_partkey") % 5 == 1, F.lit("a/./b/")).otherwise(F.lit("a/"))
+    return parts.select("p_partkey", tx.is_inside(F.concat(start, up, "p_name")).alias("inside"))
+
+
 def url_mentions(spark, folder):
     found = corpus.captures(spark, folder).select("event_id", F.explode(tx.urls("text")).alias("url"))
     return found
@@ -333,7 +381,8 @@ QUERIES = {
         scan_diff_new, scan_diff_removed, scan_diff_counts, watch_list, manifest_dependencies,
         dependency_status, dependency_summary, version_classify, code_modules, code_edges,
         code_external, code_layers, code_routes, code_services, layer_of_path, pack_budget,
-        pack_summary, file_tree, debounce_periods, pending_changes, period_counts, url_mentions,
+        pack_summary, file_tree, debounce_periods, pending_changes, period_counts, watcher_replay,
+        note_ages, escaped_pages, guarded_paths, url_mentions,
         message_slugs,
     ]
 }
@@ -601,6 +650,15 @@ ORACLE = {
         SELECT period, count(*) FILTER (event_type = 'created') AS created,
           count(*) FILTER (event_type = 'modified') AS modified,
           count(*) FILTER (event_type = 'deleted') AS deleted FROM p GROUP BY period""",
+    "watcher_replay": f"""WITH {corpus.FILE_EVENTS} SELECT path, arg_max(event_type, seq) AS event_type,
+        bool_or(event_type = 'created') AS created, epoch_us(max(ts)) AS ts FROM placed GROUP BY period, path""",
+    "note_ages": """WITH e AS (SELECT event_id, ts, date_diff('microsecond', ts, (SELECT max(ts) FROM events))
+            // 1000000 // 60 AS m FROM events)
+        SELECT event_id, CASE WHEN m < 1 THEN 'now' WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h'
+          WHEN m < 10080 THEN (m // 1440) || 'd' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM e""",
+    "escaped_pages": "SELECT page_id, md5(replace(replace(html, '<', '&lt;'), '>', '&gt;')) AS escaped_md5 FROM pages",
+    "guarded_paths": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN FALSE
+          WHEN p_partkey % 5 = 1 THEN p_partkey % 4 <= 2 ELSE p_partkey % 4 <= 1 END AS inside FROM part""",
     "url_mentions": f"""{_C} SELECT event_id, 'https://example.com/' || event_id AS url FROM captures
         WHERE event_type = 'view'""",
     "message_slugs": f"""{_C}, s AS (SELECT event_id, text, rtrim(substr(text, 1, 80), '.') AS head

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from notespark.functions import text as tx
 from notespark.operators import bm25, chunking, fusion, rerank, vectors
 from notespark.plans import corpus, search
-from notespark.session import cut_lineage
+from notespark.session import checkpoint_dir, cut_lineage
 from notespark.sources import vault
 
 QUERY = "the heed ndonre ndonre thouble"
@@ -54,16 +56,30 @@ def bm25_filtered(spark, folder):
     return hits.select("doc_id", "source", F.round("score", 4).alias("score"))
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def _index(spark, folder, fresh=False):
+    """The stored keyword index of a folder's documents; written once per session."""
+    key = (spark.sparkContext.applicationId, folder)
+    if fresh or key not in _INDEXES:
+        path = f"{checkpoint_dir(spark)}/bm25-{uuid.uuid4().hex}"
+        bm25.write_index(_documents(spark, folder).select("doc_id", "text"), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def bm25_index_build(spark, folder):
+    """Write the index; gives its totals."""
+    return spark.read.parquet(f"{_index(spark, folder, fresh=True)}/totals").select(
+        "documents", F.round("mean_length", 6).alias("mean_length"), F.round("mean_idf", 6).alias("mean_idf"),
+        "terms", "postings")
+
+
 def bm25_index_topk(spark, folder):
-    """The same page from postings instead of texts."""
-    docs = _documents(spark, folder).select("doc_id", "text")
-    postings = cut_lineage(bm25.build_postings(docs))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = docs.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.tokens("text"))).alias("l")
-    ).first()
-    hits = bm25.search_postings(postings, terms, stats["n"], stats["l"], QUERY, 10)
-    return hits.select("doc_id", F.round("score", 4).alias("score"))
+    """The same page from the stored index: the totals, and the postings of the query's terms."""
+    return bm25.search_index(spark, _index(spark, folder), QUERY, 10).select(
+        "doc_id", F.round("score", 4).alias("score"))
 
 
 def term_statistics(spark, folder):
@@ -240,7 +256,7 @@ def turn_similarity(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in [
-        bm25_topk, bm25_filtered, bm25_index_topk, term_statistics, vector_topk, vector_filtered,
+        bm25_topk, bm25_filtered, bm25_index_build, bm25_index_topk, term_statistics, vector_topk, vector_filtered,
         rrf_fusion, dedup_greedy, mmr_select, lexical_rerank, decay_rank, parse_notes,
         tag_filter_scan, chunk_documents, chunk_stats, hybrid_search, hybrid_search_filtered,
         vector_only_search, keyword_only_search, project_counts, project_list,
@@ -409,6 +425,10 @@ ORACLE = {
     "bm25_filtered": f"""WITH {BM25_SQL}
         SELECT doc_id, source, round(raw_score, 4) AS score FROM scored
         WHERE source = 'src7' ORDER BY raw_score DESC, doc_id LIMIT 10""",
+    "bm25_index_build": f"""WITH {BM25_SQL}
+        SELECT (SELECT n FROM corpus_stats) AS documents, round((SELECT avg_len FROM corpus_stats), 6) AS mean_length,
+          round((SELECT avg(idf) FROM raw_idf), 6) AS mean_idf, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings
+        FROM term_df""",
     "bm25_index_topk": f"""WITH {BM25_SQL}
         SELECT doc_id, round(raw_score, 4) AS score
         FROM scored ORDER BY raw_score DESC, doc_id LIMIT 10""",

@@ -47,8 +47,12 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_p"),
         F.col("value").alias("raw_content"),
     )
-    base = root.split("://")[-1].rstrip("/")
-    relative = F.substring_index(F.col("_p"), base + "/", -1)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toUri().getPath().rstrip("/")
+    # what follows the root itself, however often its name comes again below it
+    inside = F.regexp_replace("_p", r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    relative = F.substring(inside, len(base.encode("utf-16-le")) // 2 + 2, 1 << 30)
     return found.select(relative.alias("path"), "raw_content")
 
 

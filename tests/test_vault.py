@@ -98,3 +98,12 @@ def test_plain_blocks_read_like_yaml():
             plain = {str(k): vault._plain(v) for k, v in vault._yaml(block).items()}
             assert {k: vault._plain(v) for k, v in fields.items()} == plain, block
     assert quick >= 9
+
+
+def test_paths_start_below_the_root_however_it_is_given(spark, tmp_path, monkeypatch):
+    root = tmp_path / "notes"
+    (root / "proj" / "notes").mkdir(parents=True)
+    (root / "proj" / "notes" / "a b.md").write_text("x")
+    monkeypatch.chdir(tmp_path)
+    for given in (str(root), f"file://{root}", f"{root}/"):
+        assert [r.path for r in vault.read_vault(spark, given).collect()] == ["proj/notes/a b.md"]
