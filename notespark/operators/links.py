@@ -18,11 +18,19 @@ def nodes(notes: DataFrame) -> DataFrame:
     )
 
 
+def narrow(notes: DataFrame) -> DataFrame:
+    """What the graph needs of a note, without its text; the targets of its links in ``links``."""
+    return notes.select("path", "stem", "project", "note_type", "title", tx.links("raw_content").alias("links"))
+
+
 def link_rows(notes: DataFrame) -> DataFrame:
-    """One row per written link: the note's path and node, the target as written and its key."""
+    """One row per written link: the note's path and node, the target as written and its key.
+
+    Links that were extracted before (``links``) are not looked for again.
+    """
+    targets = F.col("links") if "links" in notes.columns else tx.links("raw_content")
     return notes.select(
-        "path", "project", F.lower("stem").alias("source"),
-        F.explode(tx.links("raw_content")).alias("target"),
+        "path", "project", F.lower("stem").alias("source"), F.explode(targets).alias("target"),
     ).withColumn("key", tx.link_stem("target"))
 
 

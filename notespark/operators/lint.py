@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from notespark import vocab
 from notespark.functions import text as tx
 from notespark.operators import links
+from notespark.session import cut_lineage
 
 
 def _issues(df: DataFrame, severity: str, category: str, file, message: Column,
@@ -25,6 +26,36 @@ def _issues(df: DataFrame, severity: str, category: str, file, message: Column,
     )
 
 
+def _empty_headings(content: Column) -> Column:
+    """Headings with nothing but blank lines, or another heading, in the four lines below."""
+
+    def of(lines: Column) -> Column:
+        def checked(line: Column, at: Column) -> Column:
+            below = F.transform(F.slice(lines, at + 2, 4), lambda s: F.trim(s))
+            first = F.get(F.filter(below, lambda s: s != ""), F.lit(0))
+            empty = line.startswith("#") & (first.isNull() | first.startswith("#"))
+            return F.when(empty, F.trim(F.regexp_replace(line, "^#+", "")))
+
+        return F.filter(F.transform(lines, checked), lambda h: h.isNotNull() & (h != ""))
+
+    return tx.let(tx.lines(content), of)
+
+
+def extracted(notes: DataFrame, pattern: str = vocab.CONCEPT_MENTION) -> DataFrame:
+    """What the checks need of each note, found in one pass over its text, without the text."""
+    return notes.select(
+        "path", "stem", "project", "note_type", "title", "created", "updated", tx.links("raw_content").alias("links"),
+        tx.find_all("content", pattern).alias("concepts"),
+        F.regexp_count("content", F.lit(vocab.TODO_MARKER)).alias("todos"),
+        _empty_headings(F.col("content")).alias("empty"), F.map_keys("meta").alias("keys"),
+    )
+
+
+def _known(notes: DataFrame, name: str, value: Column) -> Column:
+    """A column that was extracted before, else its value from the text."""
+    return F.col(name) if name in notes.columns else value
+
+
 def orphans(notes: DataFrame, parity: bool = False) -> DataFrame:
     """Notes nothing links to.  Links of a note to itself do not count; with ``parity`` they do."""
     rows = links.link_rows(notes)
@@ -75,7 +106,7 @@ def broken_links(notes: DataFrame, existing: DataFrame | None = None) -> DataFra
 
 def concept_counts(notes: DataFrame, pattern: str = vocab.CONCEPT_MENTION) -> DataFrame:
     return (
-        notes.select(F.explode(tx.find_all("content", pattern)).alias("m"))
+        notes.select(F.explode(_known(notes, "concepts", tx.find_all("content", pattern))).alias("m"))
         .groupBy(F.lower("m").alias("concept")).agg(F.count(F.lit(1)).alias("mentions"))
     )
 
@@ -117,7 +148,7 @@ def missing_concepts(
 
 
 def todo_markers(notes: DataFrame) -> DataFrame:
-    counted = tx.once(notes, _n=F.regexp_count("content", F.lit(vocab.TODO_MARKER)))
+    counted = tx.once(notes, _n=_known(notes, "todos", F.regexp_count("content", F.lit(vocab.TODO_MARKER))))
     return _issues(
         counted.where("_n > 0"), "warning", "empty_section", "path",
         F.concat(F.lit("Contains "), F.col("_n").cast("string"), F.lit(" TODO/FIXME markers")),
@@ -127,17 +158,7 @@ def todo_markers(notes: DataFrame) -> DataFrame:
 
 def empty_sections(notes: DataFrame) -> DataFrame:
     """Headings with nothing but blank lines, or another heading, in the four lines below."""
-    lines = F.col("_lines")
-
-    def checked(line: Column, at: Column) -> Column:
-        below = F.transform(F.slice(lines, at + 2, 4), lambda s: F.trim(s))
-        first = F.get(F.filter(below, lambda s: s != ""), F.lit(0))
-        empty = line.startswith("#") & (first.isNull() | first.startswith("#"))
-        return F.when(empty, F.trim(F.regexp_replace(line, "^#+", "")))
-
-    headings = F.filter(F.transform(lines, checked), lambda h: h.isNotNull() & (h != ""))
-    split = tx.once(notes.select("path", "content"), _lines=tx.lines("content"))
-    found = split.select("path", F.explode(headings).alias("heading"))
+    found = notes.select("path", F.explode(_known(notes, "empty", _empty_headings(F.col("content")))).alias("heading"))
     return _issues(
         found, "info", "empty_section", "path",
         F.concat(F.lit('Empty section: "'), "heading", F.lit('"')),
@@ -147,7 +168,7 @@ def empty_sections(notes: DataFrame) -> DataFrame:
 
 def front_matter(notes: DataFrame) -> DataFrame:
     """Notes without front matter, or without its required or recommended fields."""
-    keys = F.map_keys("meta")
+    keys = _known(notes, "keys", F.map_keys("meta"))
     none = notes.where(F.size(keys) == 0)
     some = notes.where(F.size(keys) > 0)
 
@@ -170,8 +191,11 @@ def front_matter(notes: DataFrame) -> DataFrame:
 
 def lint(notes: DataFrame, as_of: str, project: str | None = None,
          stale_days: int = vocab.STALE_DAYS) -> DataFrame:
-    """The issues of all checks; :func:`in_order` lists them."""
-    whole = notes
+    """The issues of all checks; :func:`in_order` lists them.
+
+    The texts are read once; the checks work on what was extracted, kept in the shared folder.
+    """
+    whole = notes = cut_lineage(extracted(notes))
     if project:
         notes = notes.where(F.col("project") == project)
     checks = [

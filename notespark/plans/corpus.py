@@ -272,7 +272,7 @@ facts AS (
 
 
 def task_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Each customer as a status note: one marker per thousand of debt, an open section that is
+    """Each customer as a status note: one marker per hundred of debt, an open section that is
     empty when there is none, and a last section that is always empty."""
     customers = table(spark, folder, "customer")
     c = F.col

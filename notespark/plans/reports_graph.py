@@ -14,7 +14,7 @@ PATTERN = r"(?i)\b(the|hein|thouble|ndonre|and|with)\b"
 
 
 def _graph(spark, folder):
-    notes = cut_lineage(vault.scan(corpus.page_files(spark, folder)))
+    notes = cut_lineage(links.narrow(vault.scan(corpus.page_files(spark, folder))))
     nodes = links.nodes(notes)
     return notes, nodes, cut_lineage(links.edges(notes))
 
@@ -86,12 +86,12 @@ def stale_notes(spark, folder):
 
 
 def missing_concepts(spark, folder):
-    notes = cut_lineage(vault.scan(corpus.document_files(spark, folder)))
+    notes = cut_lineage(lint.extracted(vault.scan(corpus.document_files(spark, folder)), PATTERN))
     return lint.missing_concepts(notes, PATTERN)
 
 
 def todo_markers(spark, folder):
-    """Markers in page notes; a note of each page's readable text has none, so the links' are."""
+    """Markers in notes on customers, as many as their debt calls for."""
     return lint.todo_markers(vault.scan(corpus.task_files(spark, folder)))
 
 
@@ -104,7 +104,7 @@ def front_matter(spark, folder):
 
 
 def lint_report(spark, folder):
-    notes = cut_lineage(vault.scan(corpus.page_files(spark, folder)))
+    notes = vault.scan(corpus.page_files(spark, folder))
     return lint.severity_counts(lint.lint(notes, AS_OF))
 
 
