@@ -31,6 +31,31 @@ def test_index_is_brought_up_to_date(spark, tmp_path):
     gone = spark.createDataFrame([("p/2.md",), ("p/absent.md",)], "source string")
     store.delete_notes(gone, path)
     assert sorted(set(got) - set(index(spark, path))) == ["p/2.md"]
+    store.clear_notes(spark, path)
+    assert index(spark, path) == {}
+    assert store.index_notes(chunking.chunk_table(second), second, path)["added"] == 3
+
+
+def test_a_note_without_chunks_is_known(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    empty = notes(spark, {"p/a.md": ""})
+    none = chunking.chunk_table(empty).where(F.lit(False))
+    assert store.index_notes(none, empty, path) == {"added": 1, "updated": 0, "skipped": 0}
+    assert store.index_notes(none, empty, path) == {"added": 0, "updated": 0, "skipped": 1}
+
+
+def test_a_version_that_was_not_committed_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(k, "old") for k in range(50)], "k long, v string")
+    store.upsert(rows, path, "k", bucket_bytes=100)
+    buckets = store._manifest(spark, path)[0]
+    assert buckets > 5
+    spark.createDataFrame([(1, "torn")], "k long, v string").write.parquet(f"{path}/data/torn/bucket=0")
+    (tmp_path / "t" / "manifests" / "2").mkdir()
+    assert {r.v for r in store.read(spark, path).collect()} == {"old"}
+    store.upsert(spark.createDataFrame([(1, "new")], "k long, v string"), path, "k", bucket_bytes=7)
+    assert store._manifest(spark, path)[0] == buckets
+    assert sorted(r.v for r in store.read(spark, path).collect()) == ["new"] + ["old"] * 49
 
 
 def test_new_files_take_the_next_free_name(spark):
