@@ -91,7 +91,7 @@ def repeating(found: DataFrame, top: int = 10) -> DataFrame:
 
 def repeating_projects(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """The projects and workarounds of repeating issues, as rows."""
-    kept = found.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
+    kept = found.join(patterns.select("pattern"), "pattern", "left_semi")
     return kept.groupBy("pattern", "project", "workaround").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -123,26 +123,17 @@ def recommendations(found: DataFrame, sessions: int) -> list[str]:
     out = []
     again = repeating(found, 1).first()
     if again:
-        out.append(
-            f"Create a guidelines note for '{again['pattern']}' — this issue appeared "
-            f"{again['count']} times across {again['projects']} projects"
-        )
+        named = found.where(F.col("pattern") == again["pattern"]).select("project").distinct().orderBy("project")
+        projects = ", ".join(row["project"] for row in named.toLocalIterator())
+        out.append(vocab.ADVICE_REPEATING.format(projects=projects, **{k: again[k] for k in ("pattern", "count")}))
     area = category_share(found, 1).first()
-    if area and area["pct"] > 30:
-        out.append(
-            f"Category '{area['category']}' accounts for {area['pct']}% of all issues — consider "
-            "investing in better tooling or templates for this area"
-        )
+    if area and area["pct"] > vocab.ADVICE_SHARE:
+        out.append(vocab.ADVICE_AREA.format(**area.asDict()))
     fixes = workarounds(found).count()
     if fixes:
-        out.append(
-            f"Document {fixes} proven workarounds as project guidelines to prevent repeated debugging"
-        )
+        out.append(vocab.ADVICE_WORKAROUNDS.format(count=fixes))
     if sessions and area is None:
-        out.append(
-            "No issues found — either sessions are going smoothly or issues aren't being "
-            "documented in 'What Failed' sections"
-        )
+        out.append(vocab.ADVICE_NONE)
     return out
 
 

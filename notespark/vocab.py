@@ -385,3 +385,18 @@ STATUS_RANK = {"active": 0, "mvp": 1, "paused": 2, "idea": 3, "done": 4, "unknow
 # --------------------------------------------------------------------------- streaming
 # The watcher's quiet time in seconds.
 DEBOUNCE_SECONDS = 2.0
+
+# The sentences of the session report's advice, and the share that calls for one.
+ADVICE_SHARE = 30
+ADVICE_REPEATING = (
+    "Create a guidelines note for '{pattern}' — this issue appeared {count} times across {projects}"
+)
+ADVICE_AREA = (
+    "Category '{category}' accounts for {pct}% of all issues — consider "
+    "investing in better tooling or templates for this area"
+)
+ADVICE_WORKAROUNDS = "Document {count} proven workarounds as project guidelines to prevent repeated debugging"
+ADVICE_NONE = (
+    "No issues found — either sessions are going smoothly or issues aren't being "
+    "documented in 'What Failed' sections"
+)

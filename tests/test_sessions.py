@@ -57,7 +57,11 @@ def test_reports(notes):
     share = {r.category: (r["count"], r.pct) for r in sessions.category_share(found).collect()}
     assert share == {"build": (2, 40), "crash": (2, 40), "api": (1, 20)}
     assert [r.workaround for r in sessions.workarounds(found).collect()] == ["clear the cache", "polling"]
-    assert len(sessions.recommendations(found, 2)) == 3
+    advice = sessions.recommendations(found, 2)
+    assert len(advice) == 3
+    top = sessions.repeating(found, 1).first()
+    projects = sorted({r.project for r in found.where(F.col("pattern") == top["pattern"]).collect()})
+    assert advice[0].endswith(f"appeared {top['count']} times across {', '.join(projects)}")
     assert sessions.recommendations(found.where(F.lit(False)), 2)[0].startswith("No issues found")
 
 
