@@ -413,4 +413,18 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}
-ORACLE: dict = {}
+#: Every window by itself; texts are taken in parts, as a place in a long string is slow to reach.
+ORACLE = {"op7_suffix_dedup": """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    e AS (SELECT doc_id, n, lo, h[2 * lo + 1:2 * lo + 1198] AS part FROM (SELECT *, unnest(range(0, n, 500)) AS lo FROM d)),
+    p AS (SELECT doc_id, n, lo, part, unnest(range(0, least(500, n - lo))) AS j FROM e),
+    w AS (SELECT doc_id, lo + j AS i, part[2 * j + 1:2 * j + 2] AS b,
+            CASE WHEN lo + j + 100 <= n THEN md5(part[2 * j + 1:2 * j + 200]) END AS k FROM p),
+    f AS (SELECT k, min({'d': doc_id, 'i': i}) AS first FROM w WHERE k IS NOT NULL GROUP BY k),
+    s AS (SELECT doc_id, i, b, coalesce({'d': doc_id, 'i': i} > first, FALSE) AS repeated FROM w LEFT JOIN f USING (k)),
+    m AS (SELECT doc_id, i, b, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM s),
+    r AS (SELECT *, lag(gone, 1, FALSE) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m),
+    g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans,
+            string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM r GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""}
