@@ -19,8 +19,10 @@ starts, but it needs one position per window and not several for each pair of ph
 Equal windows are earlier by ``doc_id``, then by start, in the input as it is.
 
 Defined cases: a null text is the empty text; texts shorter than a window keep all; rows with one
-``doc_id`` count as one document, so nothing in them is earlier by the row, and a null id comes
-before all others; an empty table gives no rows; other columns come back inside ``row``.
+``doc_id`` and one text count as one document, so nothing in them is earlier by the row; different
+texts of one id, or without an id, are documents of their own, told apart and ordered by ``twin``,
+a hash of the text; a null id comes before all others; an empty table gives no rows; other columns
+come back inside ``row``.
 """
 
 from __future__ import annotations
@@ -121,15 +123,17 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def block():
-        ids = np.concatenate([np.full(len(p), d) for d, p, _ in held])
-        place = np.concatenate([p for _, p, _ in held])
-        name = np.concatenate([n for _, _, n in held])
-        order = np.lexsort((place, ids, name))
-        ids, place, name = ids[order], place[order], name[order]
+        ids = np.concatenate([np.full(len(p), d) for d, _, p, _ in held])
+        twin = np.concatenate([np.full(len(p), t) for _, t, p, _ in held])
+        place = np.concatenate([p for _, _, p, _ in held])
+        name = np.concatenate([n for _, _, _, n in held])
+        order = np.lexsort((place, twin, ids, name))
+        ids, twin, place, name = ids[order], twin[order], place[order], name[order]
         # rows that repeat a document bring its places again; they are one
         fresh = np.ones(len(name), bool)
-        fresh[1:] = (name[1:] != name[:-1]) | (ids[1:] != ids[:-1]) | (place[1:] != place[:-1])
-        ids, place, name = ids[fresh], place[fresh], name[fresh]
+        fresh[1:] = (
+            (name[1:] != name[:-1]) | (ids[1:] != ids[:-1]) | (twin[1:] != twin[:-1]) | (place[1:] != place[:-1]))
+        ids, twin, place, name = ids[fresh], twin[fresh], place[fresh], name[fresh]
         start = np.ones(len(name), bool)
         start[1:] = name[1:] != name[:-1]
         first = np.flatnonzero(start)
@@ -139,20 +143,21 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = np.concatenate((asks, known))
         kind = np.concatenate((np.where(many[asks], ASKS_KNOWN, ASKS), np.full(len(known), KNOWN))).astype(np.int8)
         names = name[take].view(np.int64)
-        deal = np.where(kind == KNOWN, ids[take] + place[take], names)
+        deal = np.where(kind == KNOWN, ids[take] + twin[take] + place[take], names)
         for k in range(0, len(take), 100_000):
             s = slice(k, k + 100_000)
             yield batch_of({
                 "deal": pa.array(deal[s]), "name": pa.array(names[s]), "id": pa.array(ids[take][s]),
-                "place": pa.array(place[take][s]), "kind": pa.array(kind[s])})
+                "twin": pa.array(twin[take][s]), "place": pa.array(place[take][s]), "kind": pa.array(kind[s])})
 
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+        texts = batch.column(2)
         for k in range(len(batch)):
             data = np.frombuffer(texts[k].as_buffer(), np.uint8)
             place, name, _, _ = cover(data)
             if len(place):
-                held.append((ids[k], place, name))
+                held.append((ids[k], twins[k], place, name))
                 size += len(data)
             if size >= BLOCK_BYTES:
                 yield from block()
@@ -165,28 +170,28 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition by name: the places of names found twice or more."""
     parts = []
     for batch in batches:
-        kind = np.asarray(batch.column(4))
+        kind = np.asarray(batch.column(5))
         known = batch.filter(pa.array(kind == KNOWN))
         if len(known):
-            yield batch_of({n: known.column(c) for n, c in (("id", 2), ("place", 3))})
+            yield batch_of({n: known.column(c) for n, c in (("id", 2), ("twin", 3), ("place", 4))})
         asks = batch.filter(pa.array(kind != KNOWN))
         if len(asks):
-            parts.append([np.asarray(asks.column(c)) for c in (1, 2, 3, 4)])
+            parts.append([np.asarray(asks.column(c)) for c in (1, 2, 3, 4, 5)])
     if not parts:
         return
-    name, ids, place, kind = (np.concatenate([p[c] for p in parts]) for c in range(4))
+    name, ids, twin, place, kind = (np.concatenate([p[c] for p in parts]) for c in range(5))
     order = np.argsort(name, kind="stable")
-    name, ids, place, kind = name[order], ids[order], place[order], kind[order]
+    name, ids, twin, place, kind = name[order], ids[order], twin[order], place[order], kind[order]
     same = name[1:] == name[:-1]
     many = np.concatenate((same, [False])) | np.concatenate(([False], same))
     many &= kind == ASKS
     if many.any():
-        yield batch_of({"id": pa.array(ids[many]), "place": pa.array(place[many])})
+        yield batch_of({"id": pa.array(ids[many]), "twin": pa.array(twin[many]), "place": pa.array(place[many])})
 
 
 # ------------------------------------------------------------------------ 2: surroundings
 
-BUCKETED = "name long, id long, first long, windows int, bytes binary, start long, until long"
+BUCKETED = "name long, id long, twin long, first long, windows int, bytes binary, start long, until long"
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,27 +208,27 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at.sort()
             windows = len(raw) - LENGTH + 1
             rows.append((name, *at[0], windows, raw))
-            runs += [(d, f, f + windows + LENGTH - 1) for d, f in at[1:] if (d, f) != at[0]]
+            runs += [(d, w, f, f + windows + LENGTH - 1) for d, w, f in at[1:] if (d, w, f) != at[0]]
         for k in range(0, len(rows), 20_000):
             c = list(zip(*rows[k:k + 20_000], strict=True))
             n = len(c[0])
             yield batch_of({
-                "name": pa.array(c[0], pa.int64()), "id": pa.array(c[1], pa.int64()), "first": pa.array(c[2], pa.int64()),
-                "windows": pa.array(c[3], pa.int32()), "bytes": pa.array(c[4], pa.binary()),
+                "name": pa.array(c[0], pa.int64()), "id": pa.array(c[1], pa.int64()), "twin": pa.array(c[2], pa.int64()),
+                "first": pa.array(c[3], pa.int64()), "windows": pa.array(c[4], pa.int32()), "bytes": pa.array(c[5], pa.binary()),
                 "start": pa.nulls(n, pa.int64()), "until": pa.nulls(n, pa.int64())})
         for k in range(0, len(runs), 100_000):
             yield _runs([list(x) for x in zip(*runs[k:k + 100_000], strict=True)])
 
     for batch in batches:
-        ids, texts, places = (batch.column(c) for c in range(3))
+        ids, twins, texts, places = (batch.column(c) for c in range(4))
         for k in range(len(batch)):
             raw = texts[k].as_buffer().to_pybytes()
             place, name, first, last = cover(np.frombuffer(raw, np.uint8))
             wanted = np.isin(place, np.asarray(places[k].values))
-            doc = ids[k].as_py()
+            doc, twin = ids[k].as_py(), twins[k].as_py()
             for n, f, t in zip(name[wanted].view(np.int64).tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
                 part = raw[f:t + LENGTH]
-                seen.setdefault((n, part), []).append((doc, f))
+                seen.setdefault((n, part), []).append((doc, twin, f))
                 size += len(part)
             if size >= BLOCK_BYTES:
                 yield from block()
@@ -235,9 +240,10 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _runs(columns: list) -> pa.RecordBatch:
     n = len(columns[0])
     return batch_of({
-        "name": pa.nulls(n, pa.int64()), "id": pa.array(columns[0], pa.int64()), "first": pa.nulls(n, pa.int64()),
+        "name": pa.nulls(n, pa.int64()), "id": pa.array(columns[0], pa.int64()), "twin": pa.array(columns[1], pa.int64()),
+        "first": pa.nulls(n, pa.int64()),
         "windows": pa.nulls(n, pa.int32()), "bytes": pa.nulls(n, pa.binary()),
-        "start": pa.array(columns[1], pa.int64()), "until": pa.array(columns[2], pa.int64())})
+        "start": pa.array(columns[2], pa.int64()), "until": pa.array(columns[3], pa.int64())})
 
 
 # ------------------------------------------------------------------------ 3: sorting buckets
@@ -254,30 +260,31 @@ def _windows(first: np.ndarray, windows: np.ndarray, raw: pa.Array):
     return ranks[0], ranks[1], row, first[row] + inside
 
 
-def _sorted_runs(name, ids, first, windows, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that have an equal earlier one, as ``(id, start, until)``."""
+def _sorted_runs(name, ids, twins, first, windows, raw) -> tuple[np.ndarray, ...]:
+    """Runs of windows that have an equal earlier one, as ``(id, twin, start, until)``."""
     rank, check, row, start = _windows(first, windows, raw)
-    order = np.lexsort((start, ids[row], check, rank))
+    order = np.lexsort((start, twins[row], ids[row], check, rank))
     new = np.ones(len(order), bool)
     r, c = rank[order], check[order]
     new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = (ids[row[order]] != ids[row[head]]) | (start[order] != start[head])
+    a, b = row[order], row[head]
+    later = (ids[a] != ids[b]) | (twins[a] != twins[b]) | (start[order] != start[head])
     repeated = np.zeros(len(order), bool)
     repeated[order] = later
-    return _as_runs(ids[row], start, row, repeated)
+    return _as_runs(ids[row], twins[row], start, row, repeated)
 
 
-def _as_runs(ids, start, row, repeated):
+def _as_runs(ids, twins, start, row, repeated):
     """Neighbouring windows of a row together."""
     at = np.flatnonzero(repeated)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     breaks = np.ones(len(at), bool)
     breaks[1:] = (row[at[1:]] != row[at[:-1]]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(breaks)
     tail = np.append(head[1:], len(at)) - 1
-    return ids[at[head]], start[at[head]], start[at[tail]] + LENGTH
+    return ids[at[head]], twins[at[head]], start[at[head]], start[at[tail]] + LENGTH
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,10 +293,10 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     rows = 0
 
     def done(table: pa.Table):
-        c = [table.column(k).combine_chunks() for k in range(5)]
-        found = _sorted_runs(*(np.asarray(x) for x in c[:4]), c[4])
+        c = [table.column(k).combine_chunks() for k in range(6)]
+        found = _sorted_runs(*(np.asarray(x) for x in c[:5]), c[5])
         if len(found[0]):
-            yield batch_of({n: pa.array(x, pa.int64()) for n, x in zip(("id", "start", "until"), found, strict=True)})
+            yield batch_of({n: pa.array(x, pa.int64()) for n, x in zip(("id", "twin", "start", "until"), found, strict=True)})
 
     for batch in batches:
         for k in range(0, len(batch), CHUNK_ROWS):
@@ -311,19 +318,19 @@ def _deal_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for k in range(0, len(batch), 2000):
             part = batch.slice(k, 2000)
-            first, windows = (np.asarray(part.column(c)) for c in (2, 3))
-            rank, check, row, start = _windows(first, windows, part.column(4))
+            first, windows = (np.asarray(part.column(c)) for c in (3, 4))
+            rank, check, row, start = _windows(first, windows, part.column(5))
             yield batch_of({
                 "rank": pa.array(rank.view(np.int64)), "check": pa.array(check.view(np.int64)),
-                "id": pa.array(np.asarray(part.column(1))[row]), "start": pa.array(start)})
+                "id": pa.array(np.asarray(part.column(1))[row]), "twin": pa.array(np.asarray(part.column(2))[row]), "start": pa.array(start)})
 
 
 def _large_buckets(rows: DataFrame) -> DataFrame:
     """The same for buckets dealt by window: the first place of each by aggregation, then a join."""
-    dealt = rows.mapInArrow(_deal_windows, "rank long, check long, id long, start long")
-    first = dealt.groupBy("rank", "check").agg(F.min(F.struct("id", "start")).alias("least"))
-    later = dealt.join(first, ["rank", "check"]).where(F.struct("id", "start") > F.col("least"))
-    return later.select("id", "start", (F.col("start") + LENGTH).alias("until"))
+    dealt = rows.mapInArrow(_deal_windows, "rank long, check long, id long, twin long, start long")
+    first = dealt.groupBy("rank", "check").agg(F.min(F.struct("id", "twin", "start")).alias("least"))
+    later = dealt.join(first, ["rank", "check"]).where(F.struct("id", "twin", "start") > F.col("least"))
+    return later.select("id", "twin", "start", (F.col("start") + LENGTH).alias("until"))
 
 
 # ------------------------------------------------------------------------ 4: cutting
@@ -369,34 +376,41 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     raw = whole_text(f"`{text}`").cast("binary")
     key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID))
     spark = docs.sparkSession
-    texts = docs.select(key.alias("id"), raw.alias("bytes"))
-    total = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    # ids that stand beside different texts; in a table with unique ids there are none
+    shared = staged(
+        docs.select(key.alias("id"), F.xxhash64(raw).alias("h")).where(F.col("id") != NULL_ID).groupBy("id").agg(
+            F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select(F.col("id").alias("shared")), "suffix-shared")
+    apart = F.col("shared").isNotNull() | (F.col("id") == NULL_ID)
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), key.alias("id"), raw.alias("bytes")).join(
+        shared, F.col("id") == F.col("shared"), "left").select(
+        "row", "id", F.when(apart, F.xxhash64("bytes")).otherwise(0).alias("twin"), "bytes")
+    texts = whole.select("id", "twin", "bytes")
+    total = docs.agg(F.sum(F.octet_length(raw))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (SPAN * PART_ROWS // 2) + 1)
     places = (
-        texts.mapInArrow(_sample, "deal long, name long, id long, place long, kind tinyint")
-        .repartition(parts, "deal").mapInArrow(_repeated, "id long, place long"))
+        texts.mapInArrow(_sample, "deal long, name long, id long, twin long, place long, kind tinyint")
+        .repartition(parts, "deal").mapInArrow(_repeated, "id long, twin long, place long"))
     # of one document each, so a list is no longer than its document
-    of_document = places.distinct().groupBy("id").agg(F.collect_list(F.col("place").cast("int")).alias("places"))
-    whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), key.alias("id"), raw.alias("bytes"))
-    joined = whole.join(of_document, "id", "left")
+    of_document = places.distinct().groupBy("id", "twin").agg(F.collect_list(F.col("place").cast("int")).alias("places"))
+    joined = whole.join(of_document, ["id", "twin"], "left")
     touched = F.col("places").isNotNull()
     marked = staged(joined.select(
-        "row", "id", "bytes", "places", touched.alias("touched")), "suffix-documents")
+        "row", "id", "twin", "bytes", "places", touched.alias("touched")), "suffix-documents")
     found = staged(
-        marked.where("touched").select("id", "bytes", "places").mapInArrow(_surroundings, BUCKETED), "suffix-buckets")
-    occurrences = found.where("bytes IS NOT NULL").select("name", "id", "first", "windows", "bytes")
+        marked.where("touched").select("id", "twin", "bytes", "places").mapInArrow(_surroundings, BUCKETED), "suffix-buckets")
+    occurrences = found.where("bytes IS NOT NULL").select("name", "id", "twin", "first", "windows", "bytes")
     large = staged(
         occurrences.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") > large_bucket).select("name"), "suffix-large")
     small = occurrences.join(large, "name", "left_anti").repartition(parts, "name").sortWithinPartitions("name")
-    runs = found.where("start IS NOT NULL").select("id", "start", "until").unionByName(
-        small.mapInArrow(_sort_buckets, "id long, start long, until long")).unionByName(
+    runs = found.where("start IS NOT NULL").select("id", "twin", "start", "until").unionByName(
+        small.mapInArrow(_sort_buckets, "id long, twin long, start long, until long")).unionByName(
         _large_buckets(occurrences.join(large, "name", "left_semi")))
-    of_runs = runs.groupBy("id").agg(
+    of_runs = runs.groupBy("id", "twin").agg(
         F.collect_list(F.struct("start", "until")).alias("runs")).select(
-        "id", F.col("runs.start").alias("starts"), F.col("runs.until").alias("untils"))
+        "id", "twin", F.col("runs.start").alias("starts"), F.col("runs.until").alias("untils"))
     schema = f"row {marked.schema['row'].dataType.simpleString()}, n_bytes long, n_spans long, kept binary"
-    cut = marked.where("touched").select("row", "id", "bytes").join(of_runs, "id", "left").select(
+    cut = marked.where("touched").select("row", "id", "twin", "bytes").join(of_runs, ["id", "twin"], "left").select(
         "row", "bytes", "starts", "untils").mapInArrow(_cut, schema)
     rest = marked.where("NOT touched").select(
         "row", F.octet_length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_spans"),

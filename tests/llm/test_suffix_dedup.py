@@ -102,6 +102,27 @@ def test_repeated_rows_are_one_document(docs):
     assert sorted((r["row"]["doc_id"], len(r["kept"])) for r in rows) == [(1, len(line)), (1, len(line)), (2, 0)]
 
 
+@pytest.mark.parametrize("large", [20_000, 1])
+@pytest.mark.parametrize("shared", [None, 7])
+def test_texts_that_share_an_id_are_cut_one_by_one(docs, shared, large):
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    line, other, plain = text(200), text(150), text(800)
+    repeating = text(300) + line + text(100)
+    same = [text(40) + other + text(60) for _ in range(2)]  # the same bytes at the same offset
+    rows = [(1, line), (shared, plain), (shared, repeating), (shared, same[0]), (shared, same[1]), (shared, plain)]
+    order = -1 if shared is None else shared
+    found = sd.without_repeats(docs(rows).repartition(3), large_bucket=large).collect()
+    left = sorted((r["row"]["text"], bytes(r["kept"]).decode()) for r in found if r["row"]["doc_id"] == shared)
+    assert len(found) == len(rows)
+    assert [k for t, k in left if t == plain] == [plain, plain]
+    first = order < 1  # a null id comes before 1, so the line of document 1 goes
+    assert [k for t, k in left if t == repeating] == [repeating if first else repeating.replace(line, "")]
+    assert [bytes(r["kept"]).decode() for r in found if r["row"]["doc_id"] == 1] == ["" if first else line]
+    assert sorted(k == t for t, k in left if t in same) == [False, True]
+    assert [k for t, k in left if t in same and k != t] == [t.replace(other, "") for t, k in left if t in same and k != t]
+
+
 def test_query_against_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     texts = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
