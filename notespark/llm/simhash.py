@@ -45,11 +45,11 @@ CHUNK = 1 << 20
 PRODUCT = 64
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Bit by bit the majority of the hashes of all shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of all shingles, repeats included."""
     words = text.encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -58,7 +58,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Bit by bit the majority of the hashes of all shingles, repeats included."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)].astype("<u8")
