@@ -13,10 +13,12 @@ from notespark.llm import (
     suffix_dedup,
     token_files,
     toxicity,
+    vector_codes,
 )
 
 MODULES = [
     simhash, token_files, pack_windows, shuffle_shards, quality_rules, pii, suffix_dedup, exact_dedup, toxicity, mixing,
+    vector_codes,
 ]
 
 
