@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from notespark.llm import (
+    conversation_trie,
     exact_dedup,
     mixing,
     pack_windows,
@@ -18,7 +19,7 @@ from notespark.llm import (
 
 MODULES = [
     simhash, token_files, pack_windows, shuffle_shards, quality_rules, pii, suffix_dedup, exact_dedup, toxicity, mixing,
-    vector_codes,
+    conversation_trie, vector_codes,
 ]
 
 
