@@ -11,6 +11,7 @@ from notespark.llm import (
     quality_rules,
     shuffle_shards,
     simhash,
+    sketches,
     suffix_dedup,
     token_files,
     toxicity,
@@ -19,7 +20,7 @@ from notespark.llm import (
 
 MODULES = [
     simhash, token_files, pack_windows, shuffle_shards, quality_rules, pii, suffix_dedup, exact_dedup, toxicity, mixing,
-    conversation_trie, vector_codes,
+    conversation_trie, sketches, vector_codes,
 ]
 
 
