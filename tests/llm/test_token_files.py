@@ -18,10 +18,11 @@ WORDS, BYTES = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_b
 @pytest.mark.parametrize(("path", "separated"), [(WORDS, True), (BYTES, False)])
 def test_pieces_give_the_ids_of_the_whole_text(path, separated):
     rnd = random.Random(1)
-    texts = [t or "" for t in ODD_TEXTS] + [" a  b ", "c \n\n d", "x   y", "a\x01b \x01", "'s it's", "<|endoftext|> b"]
+    texts = [t or "" for t in ODD_TEXTS] + [" a  b ", "c \n\n d", "x   y", "a\x01b \x01", "'s it's"]
+    texts += ["<|endoftext|> b", "x <|endoftext|> b", "in<|endoftext|>side <|endoftext|>", "<|endoftext|>", "é<|endoftext|>\n<|endoftext|>  y",
+              "<|endoftext|><|endoftext|> 's", "<|ENDOFTEXT|> <|startoftext|>a <|endoftext| >", "a <|endoftext|>'s", " <|endoftext|> <|endoftext|>1"]
     texts += ["".join(rnd.choice(" \n\tab1'.,é sS \x1c") for _ in range(rnd.randrange(30))) for _ in range(3000)]
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     ids, counts = Encoder(path, separated).encode(pa.array(texts))
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == want
