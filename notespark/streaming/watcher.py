@@ -92,8 +92,8 @@ STATE = "period long, path string, event_type string, created boolean, ts timest
 class Watcher:
     """Micro-batches of file events to batches of note changes.
 
-    ``apply(todo, batch_id)`` gets one row per path of the closed periods; it must be
-    idempotent, as an upsert by path is, because a batch whose commit was lost is run again.
+    ``apply(todo, batch_id)`` gets one row per path of the closed periods, and is not called where none
+    closed; it must be idempotent, as an upsert by path is, because a batch whose commit was lost is run again.
     The open period is kept in ``state/batch=<id>``, a row per path; a rerun reads the state of the
     batch before it and so finds the same events.  Older states are removed.  With ``log`` every
     applied change is also written there, a folder per batch.
@@ -132,9 +132,10 @@ class Watcher:
         end = todo.agg(F.max("period"), F.max_by(F.unix_micros("ts"), F.struct("period", "ts"))).first()
         still_open = end[0] is not None and now - end[1] < wait
         closed = todo.where(F.col("period") < end[0]) if still_open else todo
-        self.apply(closed.drop("seq"), batch_id)
-        if self.log:
-            closed.drop("seq").write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")
+        if not closed.isEmpty():
+            self.apply(closed.drop("seq"), batch_id)
+            if self.log:
+                closed.drop("seq").write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")
         left = todo.where(F.col("period") == end[0]) if still_open else todo.where(F.lit(False))
         left.write.mode("overwrite").parquet(self._path(batch_id))
         store.delete(self.spark, self._path(batch_id - 2))  # a rerun needs the state just before it
@@ -157,14 +158,16 @@ def apply_to_index(read_files: Callable[[DataFrame], DataFrame], to_chunks: Call
                    path: str) -> Callable[[DataFrame, int], None]:
     """An ``apply`` for :class:`Watcher` that keeps a chunk table up to date.
 
-    ``read_files`` gives the files of the changed paths, ``to_chunks`` their chunks.
+    ``read_files`` gives the files of the changed paths, ``to_chunks`` their chunks.  A batch that was
+    committed before is not written again.
     """
 
-    def apply(todo: DataFrame, _batch_id: int) -> None:
+    def apply(todo: DataFrame, batch_id: int) -> None:
         last = todo.groupBy("path").agg(F.max_by("event_type", "period").alias("event_type"))
         last = cut_lineage(last)
         changed = last.where("event_type <> 'deleted'").select("path")
         chunks = to_chunks(read_files(changed))
-        store.upsert(chunks, path, "source", deleted=last.select(F.col("path").alias("source")))
+        store.upsert(chunks, path, "source", deleted=last.select(F.col("path").alias("source")),
+                     writer=("watcher", batch_id))
 
     return apply
