@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notespark import vocab
+from notespark.operators.intervals import contained
 from notespark.session import cut_lineage
 from notespark.scale import next_different, previous_value, ranged, running_sum, running_sums
 
@@ -75,6 +76,19 @@ def about(facts: DataFrame, entity: str, as_of: str) -> DataFrame:
     return facts.where(_about(entity) & holds_on(as_of))
 
 
+def probed(facts: DataFrame, probes: DataFrame, per_task: int = 1 << 20) -> DataFrame:
+    """Facts about many entities, each on its own day: ``probes`` has ``entity`` and ``day``.
+
+    A row per probe and fact with the entity as subject or object, as :func:`about` gives for one probe.
+    Starts and ends that are no dates do not limit.
+    """
+    names = F.array_distinct(F.array("subject", "object"))
+    held = facts.withColumn("entity", F.explode(names)).withColumn(
+        "_start", F.col("valid_from").try_cast("date")).withColumn("_end", F.col("valid_to").try_cast("date"))
+    asked = probes.withColumn("entity", F.lower("entity")).withColumn("_day", F.col("day").try_cast("date"))
+    return contained(asked, held, "entity", "_day", "_start", "_end", per_task).drop("_day", "_start", "_end")
+
+
 def timeline(facts: DataFrame, entity: str, order: str = "seq") -> DataFrame:
     """Everything ever stated about an entity, by start; facts without a start come first."""
     start = F.coalesce(F.when(F.col("valid_from") != "", F.col("valid_from")), F.lit("0000"))

@@ -86,12 +86,20 @@ def facts_before(spark, folder):
     return facts.facts_before(corpus.event_facts(spark, folder)).select("seq", "subject", "earlier")
 
 
+def facts_probed(spark, folder):
+    """What held about each event's user on the day of the event."""
+    asked = corpus.table(spark, folder, "events").select(
+        F.col("event_id").alias("probe"), F.concat(F.lit("User-"), F.col("user_id")).alias("entity"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return facts.probed(_facts(spark, folder), asked).select("probe", "entity", "day", "seq", "predicate", "object")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
         facts_valid_to, facts_as_of, facts_about, facts_timeline, facts_search, fact_changes,
         contradictions, contradicting_subjects, check_new_fact, fact_stats, facts_invalidated,
-        active_fact_lines, facts_before,
+        active_fact_lines, facts_before, facts_probed,
     ]
 }
 
@@ -149,6 +157,10 @@ ORACLE = {
     "active_fact_lines": f"""{_F} SELECT subject, seq,
         '- ' || predicate || ': **' || object || '** (since ' || valid_from || ')' AS line
         FROM facts WHERE {_ACTIVE}""",
+    "facts_probed": f"""{_F} SELECT e.event_id AS probe, f.subject AS entity, strftime(e.ts, '%Y-%m-%d') AS day,
+          f.seq, f.predicate, f.object
+        FROM events e JOIN facts f ON f.subject = 'user-' || e.user_id
+          AND f.valid_from <= strftime(e.ts, '%Y-%m-%d') AND coalesce(f.closed, '9999') >= strftime(e.ts, '%Y-%m-%d')""",
     "facts_before": f"""{_F} SELECT seq, subject,
         row_number() OVER (PARTITION BY subject ORDER BY seq) - 1 AS earlier FROM stated""",
 }
