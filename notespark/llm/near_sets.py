@@ -1,12 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash finds pairs, the sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and MinHash find candidates, the sets decide.
 
-1. Each text gets ``BANDS`` keys, each made of ``ROWS`` minima of its hashed shingles.  A pair of
-   similarity s shares a key with probability ``1 - (1 - s**ROWS)**BANDS``: 0.9996 at 0.8.
+1. Each text gets a SimHash fingerprint, and those within 4 bits are linked by the walk over binary
+   tries of ``simhash``; the component is a key of all its texts.  Alone it would find few of the pairs
+   just above the threshold, whose fingerprints differ in about 10 bits, so each text also gets ``BANDS``
+   keys, each made of ``ROWS`` minima of its hashed shingles.  A pair of similarity s shares one of these
+   with probability ``1 - (1 - s**ROWS)**BANDS``: 0.9996 at 0.8.
 2. In each group with one key all are paired with the first.  The shingle sets of a pair are
    compared in full, and what is similar enough is linked.
-3. Groups that still hold several components pair all their rows of different components, and those
-   pairs are compared too.  So of any two rows with a common key the sets were compared, or the rows
-   are linked already; a ball of near copies costs a row per copy and key, not its pairs.
+3. Groups that still hold several components travel packed, in blocks of ``BLOCK_BYTES`` of sets, and
+   blocks of one key meet pair by pair.  Inside, rows of different components meet by their rarest shingles
+   only: two sets of similarity t of n shingles share one of the first ``n - ceil(t * n) + 1``, whatever
+   the order.  A pair of blocks sends a spanning forest.  So of any two rows with a common key the sets
+   were compared or cannot be similar, or the rows are linked already, and no row is made per pair.
 
 Shingles are those of ``simhash``: ASCII white space and case; a shorter text is one shingle.
 
@@ -27,12 +32,13 @@ from pyspark.sql import functions as F
 
 from notespark.llm.common import batch_of, staged, task_number
 from notespark.llm.components import stars
-from notespark.llm.simhash import shingle_hashes
+from notespark.llm.simhash import links as trie_links, majority, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 SLICE = 2048
+BLOCK_BYTES = 4 << 20
 
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -67,11 +73,13 @@ def _keyed(shingle: int):
         for batch in batches:
             for k in range(0, len(batch), 1000):
                 part = batch.slice(k, 1000)
-                found = [keys(shingle_hashes(t or "", shingle)) for t in part.column(1).to_pylist()]
-                values = pa.array(np.concatenate(found).view(np.int64))
+                hashes = [shingle_hashes(t or "", shingle) for t in part.column(1).to_pylist()]
+                values = pa.array(np.concatenate([keys(h) for h in hashes]).view(np.int64))
+                prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
                 offsets = pa.array(np.arange(0, len(values) + 1, BANDS, dtype=np.int32))
                 yield batch_of({
                     "row": part.column(0), "number": pa.array(np.arange(number, number + len(part))),
+                    "print": pa.array(prints), "size": pa.array([len(h) for h in hashes], pa.int64()),
                     "keys": pa.ListArray.from_arrays(offsets, values)})
                 number += len(part)
 
@@ -104,36 +112,144 @@ def _compared(similarity: float):
 def _links(rows: DataFrame, pairs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
     """Of pairs of numbers ``(a, b)`` those that are similar."""
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "near-wanted")
-    sets = staged(rows.select("number", F.col(f"row.`{text}`").alias("text")).join(wanted, "number", "left_semi").mapInArrow(
-        _sets(shingle), "number long, shingles binary"), "near-sets")
+    sets = _wanted_sets(rows, wanted, text, shingle)
     ours = sets.select(F.col("number").alias("a"), F.col("shingles").alias("ours"))
     theirs = sets.select(F.col("number").alias("b"), F.col("shingles").alias("theirs"))
     both = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "ours", "theirs")
     return staged(both.mapInArrow(_compared(similarity), "a long, b long"), "near-links")
 
 
+def _prefixes(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the rarest elements one of which a similar set must hold, as ``(element, set)``.
+
+    Ordered by element; elements that no other set has are left out.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((element, counts[element], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    enough = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    keep = order[(place < enough[owner]) & (counts[element[order]] > 1)]
+    element, owner = element[keep], owner[keep]
+    order = np.lexsort((owner, element))
+    return element[order], owner[order]
+
+
+def forest(sets: list[np.ndarray], roots: list[int], split: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join all similar sets of different roots; of two blocks (``split`` > 0) only those across."""
+    top: dict[int, int] = {}
+
+    def find(root: int) -> int:
+        while top.get(root, root) != root:
+            top[root] = root = top.get(top[root], top[root])
+        return root
+
+    element, owner = _prefixes(sets, similarity)
+    edges = np.flatnonzero(np.diff(element, prepend=-1, append=-1)) if len(element) else []
+    tried, out = set(), []
+    for low, high in zip(edges, edges[1:]):
+        members = owner[low:high].tolist()
+        if len({find(roots[m]) for m in members}) < 2:
+            continue
+        for j, b in enumerate(members):
+            for a in members[:j]:
+                if (split and (a < split) == (b < split)) or find(roots[a]) == find(roots[b]) or (a, b) in tried:
+                    continue
+                tried.add((a, b))
+                if similar(sets[a], sets[b], similarity):
+                    top[find(roots[a])] = find(roots[b])
+                    out.append((a, b))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, salt, number, root, shingles`` in order of key and salt, a row for each block."""
+    held, name = [], None
+
+    def packed() -> pa.RecordBatch:
+        return batch_of({
+            "key": pa.array([name[0]], pa.int64()), "salt": pa.array([name[1]], pa.int64()),
+            "numbers": pa.array([[h[0] for h in held]], pa.list_(pa.int64())),
+            "roots": pa.array([[h[1] for h in held]], pa.list_(pa.int64())),
+            "sets": pa.array([[h[2] for h in held]], pa.list_(pa.binary()))})
+
+    for batch in batches:
+        for key, salt, *row in zip(*(column.to_pylist() for column in batch.columns)):
+            if name != (key, salt):
+                if held:
+                    yield packed()
+                held, name = [], (key, salt)
+            held.append(row)
+    if held:
+        yield packed()
+
+
+def _met(similarity: float):
+    """Links within one block, or across two."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                split = len(row["numbers"]) if row["numbers_b"] is not None else 0
+                numbers = row["numbers"] + (row["numbers_b"] or [])
+                sets = [np.frombuffer(s, "<u8") for s in row["sets"] + (row["sets_b"] or [])]
+                found = forest(sets, row["roots"] + (row["roots_b"] or []), split, similarity)
+                if found:
+                    yield batch_of({n: pa.array([numbers[link[k]] for link in found], pa.int64()) for k, n in enumerate("ab")})
+
+    return work
+
+
+def _wanted_sets(rows: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
+    return staged(rows.select("number", F.col(f"row.`{text}`").alias("text")).join(wanted, "number", "left_semi").mapInArrow(
+        _sets(shingle), "number long, shingles binary"), "near-sets")
+
+
+def _links_within_keys(rows: DataFrame, apart: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """Links among rows ``key, number, root, size`` of one key and different roots."""
+    groups = apart.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("number").cast("decimal(20,0)")).alias("who"),
+        F.ceil(F.sum(8 * F.col("size") + 64) / BLOCK_BYTES).alias("blocks"))
+    # keys with the same rows meet once
+    groups = staged(groups.groupBy("n", "who").agg(F.min(F.struct("key", "blocks")).alias("g")).select("g.*"), "near-groups")
+    dealt = staged(apart.join(groups, "key").select(
+        "key", F.pmod(F.xxhash64("number"), "blocks").alias("salt"), "number", "root"), "near-dealt")
+    sets = _wanted_sets(rows, dealt.select("number").distinct(), text, shingle)
+    blocks = staged(dealt.join(sets, "number").select("key", "salt", "number", "root", "shingles").repartition(
+        "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(
+        _blocks, "key long, salt long, numbers array<long>, roots array<long>, sets array<binary>"), "near-blocks")
+    alone = blocks.select("numbers", "roots", "sets", *[
+        F.lit(None).cast(blocks.schema[c].dataType).alias(f"{c}_b") for c in ("numbers", "roots", "sets")])
+    salts = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pairs = groups.where("blocks > 1").select("key", "blocks", F.explode(salts).alias("salt")).select(
+        "key", "salt", F.explode(salts).alias("salt_b")).where("salt < salt_b")
+    theirs = blocks.select("key", F.col("salt").alias("salt_b"), *[F.col(c).alias(f"{c}_b") for c in ("numbers", "roots", "sets")])
+    across = pairs.join(blocks, ["key", "salt"]).join(theirs, ["key", "salt_b"]).select(*alone.columns)
+    return staged(alone.unionByName(across).mapInArrow(_met(similarity), "a long, b long"), "near-links")
+
+
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
                     similarity: float = SIMILARITY) -> DataFrame:
     """One ``row`` of each component of similar texts."""
     plain = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    rows = staged(plain.mapInArrow(
-        _keyed(shingle), f"row {plain.schema['row'].dataType.simpleString()}, number long, keys array<long>"), "near-rows")
-    members = rows.select("number", F.explode("keys").alias("key"))
+    rows = staged(plain.mapInArrow(_keyed(shingle), (
+        f"row {plain.schema['row'].dataType.simpleString()}, number long, print long, size long, keys array<long>")), "near-rows")
+    walked = staged(stars(trie_links(rows.select("print").distinct())), "near-walked")
+    families = rows.select("number", "print", "size").join(walked, F.col("print") == F.col("node"), "left").select(
+        "number", "size", F.xxhash64(F.lit("trie"), F.coalesce("root", "print")).alias("key"))
+    members = rows.select("number", "size", F.explode("keys").alias("key")).unionByName(families)
     groups = members.groupBy("key").agg(F.min("number").alias("first"), F.max("number").alias("last")).where("first < last")
     shared = staged(members.join(groups.select("key", "first"), "key"), "near-shared")
     pairs = staged(shared.where("number > first").select(F.col("first").alias("a"), F.col("number").alias("b")).distinct(), "near-pairs")
     found = _links(rows, pairs, text, shingle, similarity)
     roots = staged(stars(found), "near-roots")
     rooted = shared.join(roots, F.col("number") == F.col("node"), "left").select(
-        "key", "number", F.coalesce("root", "number").alias("root"))
+        "key", "number", "size", F.coalesce("root", "number").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     apart = staged(rooted.join(mixed, "key", "left_semi"), "near-apart")
-    ours = apart.select("key", F.col("number").alias("a"), F.col("root").alias("root_a"))
-    theirs = apart.select("key", F.col("number").alias("b"), F.col("root").alias("root_b"))
-    rest = staged(ours.join(theirs, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct().join(
-        pairs, ["a", "b"], "left_anti"), "near-pairs")
-    every = found.unionByName(_links(rows, rest, text, shingle, similarity))
+    every = found.unionByName(_links_within_keys(rows, apart, text, shingle, similarity))
     roots = staged(stars(every), "near-roots")
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     placed = staged(rows.select("number", F.col(f"row.`{doc_id}`").alias("_id")).join(

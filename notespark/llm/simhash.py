@@ -63,7 +63,11 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Bit by bit the majority of the hashes of all shingles, repeats included."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

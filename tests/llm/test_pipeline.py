@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from test_mixing import brute as brute_mix
-from test_simhash import classes, plain_print
+from test_near_sets import brute as brute_near
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -51,9 +51,7 @@ def test_exact_and_near_duplicates_go(stages):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rows[d])
         last[hashlib.sha256(low.encode()).digest()] = d
     assert ids(stages[2]) == sorted(last.values())
-    left = sorted(last.values())
-    roots = classes([plain_print(rows[d]) for d in left])
-    assert ids(stages[3]) == [d for k, d in enumerate(left) if roots[k] == k]
+    assert ids(stages[3]) == brute_near([(d, rows[d]) for d in sorted(last.values())])
 
 
 def test_mixing_by_plain_python(stages):
