@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from notespark.functions import text as tx
-from notespark.operators import bm25, chunking, fusion, rerank, vectors
+from notespark.operators import block_max, bm25, chunking, fusion, rerank, vector_index, vectors
 from notespark.plans import corpus, search
 from notespark.session import checkpoint_dir, cut_lineage
 from notespark.sources import vault
@@ -82,6 +82,15 @@ def bm25_index_topk(spark, folder):
         "doc_id", F.round("score", 4).alias("score"))
 
 
+def bm25_batch(spark, folder):
+    """The first turn of every conversation as a query over all documents."""
+    path = f"{checkpoint_dir(spark)}/block-max-{uuid.uuid4().hex}"
+    block_max.write_index(_documents(spark, folder).select("doc_id", "text"), path)
+    asked = corpus.table(spark, folder, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    pages, _ = block_max.search_many(spark, path, asked)
+    return pages.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
+
+
 def term_statistics(spark, folder):
     return bm25.document_frequencies(_documents(spark, folder))
 
@@ -92,6 +101,33 @@ def vector_topk(spark, folder):
     return hits.select("vec_id", "label", "score")
 
 
+def _vector_index(spark, folder):
+    path = f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(corpus.table(spark, folder, "embeddings"), path)
+    return path
+
+
+def vector_index_build(spark, folder):
+    """Write the inverted lists of all vectors; gives what they hold."""
+    lists = spark.read.parquet(f"{_vector_index(spark, folder)}/lists")
+    return lists.agg(F.sum("size").alias("vectors"), F.sum(F.when(F.col("_list") >= 0, F.col("size"))).alias("placed"))
+
+
+def vector_index_topk(spark, folder):
+    """The page of a full scan from the lists that may hold it."""
+    rows = corpus.table(spark, folder, "embeddings")
+    query = vectors.vector_of(rows, "vec_id", 0)
+    return vector_index.search(spark, _vector_index(spark, folder), query, 10, exact=True).select("vec_id", "label", "score")
+
+
+def vector_index_batch(spark, folder):
+    """Every twentieth vector as a query against all."""
+    asked = corpus.table(spark, folder, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    pages = vector_index.search_many(spark, _vector_index(spark, folder), asked, exact=True)
+    return pages.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 4).alias("score"))
+
+
 def vector_filtered(spark, folder):
     rows = corpus.table(spark, folder, "embeddings")
     query = vectors.vector_of(rows, "vec_id", 1)
@@ -256,7 +292,8 @@ def turn_similarity(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in [
-        bm25_topk, bm25_filtered, bm25_index_build, bm25_index_topk, term_statistics, vector_topk, vector_filtered,
+        bm25_topk, bm25_filtered, bm25_index_build, bm25_index_topk, bm25_batch, term_statistics, vector_topk, vector_filtered,
+        vector_index_build, vector_index_topk, vector_index_batch,
         rrf_fusion, dedup_greedy, mmr_select, lexical_rerank, decay_rank, parse_notes,
         tag_filter_scan, chunk_documents, chunk_stats, hybrid_search, hybrid_search_filtered,
         vector_only_search, keyword_only_search, project_counts, project_list,
@@ -506,6 +543,26 @@ ORACLE = {
     "chunk_documents": f"""WITH RECURSIVE {corpus.DOCUMENT_NOTES}, {_CHUNKS}
         SELECT path || '::chunk_' || chunk_index AS chunk_id, path AS source, section,
           CAST(chunk_index AS BIGINT) AS chunk_index, text FROM chunks""",
+    "bm25_batch": rf"""WITH doc_tokens AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents),
+        stats AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM doc_tokens),
+        tfs AS (SELECT doc_id, len(toks) AS dl, term, count(*) AS tf
+                FROM doc_tokens, unnest(toks) t(term) GROUP BY doc_id, dl, term),
+        raw_idf AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tfs, stats GROUP BY term),
+        idfs AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw_idf) ELSE idf END AS idf FROM raw_idf),
+        asked AS (SELECT conv_id AS query_id, term, count(*) AS times FROM (
+            SELECT conv_id, unnest({TOKENS_SQL}) AS term FROM conversations WHERE turn = 0) GROUP BY ALL),
+        scored AS (
+          SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_len))), 6) AS score
+          FROM asked JOIN idfs USING (term) JOIN tfs USING (term), stats GROUP BY query_id, doc_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "vector_index_build": "SELECT count(*) AS vectors, count(embedding) AS placed FROM embeddings",
+    "vector_index_topk": _nearest(0, 10),
+    "vector_index_batch": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score
+              FROM v q, v WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank, vec_id, round(score, 4) AS score FROM r WHERE rank <= 10""",
     "chunk_stats": f"""WITH RECURSIVE {corpus.DOCUMENT_NOTES}, {_CHUNKS}
         SELECT count(*) AS total_chunks, count(DISTINCT path) AS total_notes,
           (SELECT count(DISTINCT project) FROM notes) AS projects,
