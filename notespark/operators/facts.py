@@ -38,6 +38,24 @@ def with_valid_to(statements: DataFrame, order: str = "seq") -> DataFrame:
     return closed.withColumn("valid_to", F.coalesce("_to", F.lit(""))).drop("_to")
 
 
+def applied(log: DataFrame, order: str = "seq") -> DataFrame:
+    """The facts of a log of additions and endings, as they stand after its last entry.
+
+    ``log`` has ``kind`` (``add`` or ``end``), ``subject``, ``predicate``, ``object`` and ``day``, in order of
+    arrival.  An addition closes what is open on its subject and predicate with another object, an ending
+    what is open with its object; each fact keeps the day of the first entry after it that closes it, and
+    an ending says nothing about additions that come later.  Subjects with much of the log are worked
+    through by ranges of arrival.
+    """
+    key = ["subject", "predicate"]
+    ranges = ranged(log.withColumn("_mark", F.struct(F.col(order).alias("at"), F.col("day").alias("to"))), order)
+    ended = next_different(ranges, [*key, "object"], order, "kind", "_mark", "_ended").where(F.col("kind") == "add")
+    closed = next_different(ended, key, order, "object", "_mark", "_replaced")
+    first = F.least("_ended", "_replaced")  # by arrival; a null does not count
+    return closed.withColumn("valid_from", F.col("day")).withColumn("valid_to", F.coalesce(first["to"], F.lit(""))).drop(
+        "_mark", "_ended", "_replaced", "_range", "kind", "day")
+
+
 def invalidate(facts: DataFrame, ended: DataFrame) -> DataFrame:
     """Close open facts named by ``(subject, predicate, object, ended)``, earliest end first."""
     ends = ended.groupBy(

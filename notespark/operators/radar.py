@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from notespark import vocab
 from notespark.functions import text as tx
 from notespark.scale import top_per_key
+from notespark.session import cut_lineage
+from notespark.sources import versions
 
 
 def tool_relevance(name, description, keywords: dict[str, list[str]] = vocab.TOOL_KEYWORDS) -> Column:
@@ -47,6 +49,24 @@ def diff_counts(current: DataFrame, previous: DataFrame) -> DataFrame:
     return rows.agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
 
 
+def run_scan(found: DataFrame, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Score a scan of tools, compare it with the stored one and store it in its place.
+
+    Returns what is new and what is gone among important tools, and the version of the stored scan.  Only
+    rows that differ are written, so the same scan again makes no version and finds nothing new.
+    """
+    spark = found.sparkSession
+    current = cut_lineage(score_tools(found))
+    last = max(versions.versions(spark, path), default=0) if versions.exists(spark, path) else 0
+    previous = versions.read(spark, path, last) if last else None
+    if previous is None:
+        return new_tools(current, None), current.where(F.lit(False)), versions.upsert(current, path, "name")
+    known = [current[c].eqNullSafe(previous[c]) for c in current.columns]
+    differs = current.join(previous, known, "left_anti")
+    version = versions.upsert(differs, path, "name", deleted=previous.join(current, "name", "left_anti").select("name"))
+    return new_tools(current, previous), removed_tools(current, previous), version
+
+
 def alert_lines(new: DataFrame, top: int = 5) -> DataFrame:
     """The first new important tools, as escaped text for a message."""
     high = new.where(F.col("relevance") == "high").orderBy("name").limit(top)

@@ -8,9 +8,10 @@ from notespark.plans import (
     reports_graph,
     reports_search,
     reports_sessions,
+    reports_stored,
 )
 
-MODULES = [reports_search, reports_graph, reports_facts, reports_sessions, reports_feeds]
+MODULES = [reports_search, reports_graph, reports_facts, reports_sessions, reports_feeds, reports_stored]
 
 
 def queries() -> dict:

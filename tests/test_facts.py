@@ -135,3 +135,31 @@ def test_migration_ends_the_specialised_fact(spark):
 def test_entities(spark):
     df = spark.createDataFrame([("Going to use redis in Lantern, see [[Page One|x]]",)], "content string")
     assert extraction.entities(df, projects=["lantern"]).first().entities == ["Page One", "go", "lantern", "redis"]
+
+
+def test_a_log_is_applied_in_order(spark, monkeypatch):
+    """Against a walk entry by entry; one key has a third of the log and is cut into ranges."""
+    rnd = random.Random(11)
+    log = []
+    for seq in range(300):
+        subject = "hot" if seq % 3 == 0 else f"s{rnd.randrange(6)}"
+        log.append((seq, rnd.choice(["add", "add", "end"]), subject, rnd.choice(["p", "q"]), rnd.choice("abc"), f"day{seq:03d}"))
+    held = []
+    for seq, kind, *key, obj, day in log:
+        for fact in held:
+            if fact["key"] == key and fact["to"] == "" and (fact["object"] == obj) == (kind == "end"):
+                fact["to"] = day
+        if kind == "add":
+            held.append({"seq": seq, "key": key, "object": obj, "to": ""})
+    df = spark.createDataFrame(log, "seq long, kind string, subject string, predicate string, object string, day string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.seq: r.valid_to for r in facts.applied(df.repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {f["seq"]: f["to"] for f in held}
+
+
+def test_an_empty_log(spark):
+    assert facts.applied(spark.createDataFrame(
+        [], "seq long, kind string, subject string, predicate string, object string, day string")).count() == 0

@@ -122,3 +122,28 @@ def test_compare(spark):
                    "requests": ("outdated", "patch")}
     row = {r.project: r for r in dependencies.summary(compared, deps).collect()}
     assert (row["web"].total_deps, row["web"].outdated, row["web"].major) == (2, 1, 1) and row["app"].outdated == 0
+
+
+def test_a_scan_run_twice_finds_nothing_new(spark, tmp_path):
+    from notespark.sources import versions
+
+    path = str(tmp_path / "scans")
+
+    def scan(rows):
+        return spark.createDataFrame(rows, "name string, description string")
+
+    def names(df):
+        return sorted(r.name for r in df.collect())
+
+    first = scan([("a", "MCP server for Flutter"), ("b", "tailwind helper"), ("c", "game engine")])
+    new, gone, version = radar.run_scan(first, path)
+    assert (names(new), names(gone), version) == (["a", "b"], [], 1)
+    new, gone, version = radar.run_scan(first, path)
+    assert (names(new), names(gone), version) == ([], [], 1)
+    second = scan([("a", "MCP server for Flutter"), ("c", "MCP server for Flutter"), ("d", "tailwind & <more>"), ("e", "MCP flutter")])
+    new, gone, version = radar.run_scan(second, path)
+    assert (names(new), names(gone), version) == (["d", "e"], ["b"], 2)
+    assert names(versions.read(spark, path, 1)) == ["a", "b", "c"]
+    assert {r["name"]: r.change for r in versions.changes(spark, path, "name", 1).collect()} == {
+        "b": "removed", "c": "changed", "d": "added", "e": "added"}
+    assert [r.name for r in radar.alert_lines(new).collect()] == ["e"]
