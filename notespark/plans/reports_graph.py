@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notespark.operators import links, lint
+from notespark.operators import links, lint, paths
 from notespark.plans import corpus
 from notespark.session import cut_lineage
 from notespark.sources import vault
@@ -57,6 +57,17 @@ def shortest_path(spark, folder):
     return links.shortest_path(edges, "page-2", "page-106")
 
 
+def shortest_paths(spark, folder):
+    """How far every page is from another one, and how many nodes the path that was found has."""
+    _, _, edges = _graph(spark, folder)
+    pages = corpus.table(spark, folder, "pages").select("page_id")
+    n = pages.agg(F.count("*").alias("n"))
+    pairs = pages.join(F.broadcast(n)).select(  # a row
+        F.concat(F.lit("page-"), "page_id").alias("source"), F.concat(F.lit("page-"), (F.col("page_id") * 37 + 11) % F.col("n")).alias("target"))
+    found = paths.shortest_paths(edges, pairs)
+    return found.groupBy("source", "target").agg(F.max("step").alias("length"), F.count_distinct("node").alias("nodes"))
+
+
 def components(spark, folder):
     _, nodes, edges = _graph(spark, folder)
     return links.components(nodes, edges)
@@ -112,7 +123,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         graph_edges, link_degree_hubs, graph_stats, cluster_summary, cluster_top5, bfs_khop,
-        shortest_path, components, find_node, suggest_nodes, orphans, broken_links, stale_notes,
+        shortest_path, shortest_paths, components, find_node, suggest_nodes, orphans, broken_links, stale_notes,
         missing_concepts, todo_markers, empty_sections, front_matter, lint_report,
     ]
 }
@@ -194,6 +205,13 @@ ORACLE = {
             WHERE s.a = path.node AND n.d = path.d - 1), d - 1
           FROM path WHERE d > 0)
         SELECT step, node FROM path""",
+    "shortest_paths": f"""WITH RECURSIVE {corpus.PAGE_LINKS}, {_BOTH},
+        pairs AS (SELECT 'page-' || page_id AS source,
+            'page-' || (page_id * 37 + 11) % (SELECT count(*) FROM pages) AS target FROM pages),
+        walk(source, target, node, d) AS (
+          SELECT source, target, source, CAST(0 AS BIGINT) FROM pairs
+          UNION SELECT w.source, w.target, s.b, d + 1 FROM walk w JOIN sym s ON s.a = w.node WHERE d < 8 AND w.node <> w.target)
+        SELECT source, target, min(d) AS length, min(d) + 1 AS nodes FROM walk WHERE node = target GROUP BY source, target""",
     "components": f"""WITH RECURSIVE {corpus.PAGE_LINKS}, {_BOTH}, {_COMPONENTS}
         SELECT node, label AS component FROM walk""",
     "find_node": f"""WITH {corpus.PAGE_LINKS}
