@@ -117,26 +117,16 @@ def missing_concepts(
 ) -> DataFrame:
     """Often mentioned concepts that no note is named after or titled with.
 
-    The few top concepts are known first, so titles are tested for them inside each row
-    instead of being joined with them.
+    The few top concepts are found first and reach the notes as one list, so titles are tested for them
+    inside each row instead of being joined with them.
     """
-    best = [
-        (r["concept"], r["mentions"])
-        for r in concept_counts(notes, pattern).where(F.col("mentions") >= least)
-        .orderBy(F.desc("mentions"), "concept").limit(top).collect()
-    ]
-    spark = notes.sparkSession
-    wanted = spark.createDataFrame(best, "concept string, mentions bigint")
-    if not best:
-        have = spark.createDataFrame([], "concept string")
-    else:
-        names = F.array(*[F.lit(c) for c, _ in best])
-        own = F.regexp_replace(F.lower("stem"), "^concept-", "")
-        named = F.filter(
-            names,
-            lambda c: (c == own) | (c == F.lower(F.col("stem"))) | F.contains(F.lower(F.col("title")), c),
-        )
-        have = notes.select(F.explode(named).alias("concept")).distinct()
+    wanted = cut_lineage(concept_counts(notes, pattern).where(F.col("mentions") >= least).orderBy(
+        F.desc("mentions"), "concept").limit(top))
+    names = wanted.agg(F.collect_list("concept")).scalar()  # ``top`` names
+    own = F.regexp_replace(F.lower("stem"), "^concept-", "")
+    low = notes.select(F.lower("stem").alias("stem"), F.lower("title").alias("title"), own.alias("own"), names.alias("names"))
+    named = F.filter("names", lambda c: (c == F.col("own")) | (c == F.col("stem")) | F.contains(F.col("title"), c))
+    have = low.select(F.explode(named).alias("concept")).distinct()
     return _issues(
         wanted.join(have, "concept", "left_anti"), "info", "missing_concept", "(vault-wide)",
         F.concat(

@@ -115,7 +115,10 @@ def front_matter(spark, folder):
 
 
 def lint_report(spark, folder):
-    notes = vault.scan(corpus.page_files(spark, folder))
+    """All checks over the notes made of pages, documents and customers."""
+    parts = [corpus.page_files(spark, folder), corpus.document_files(spark, folder), corpus.task_files(spark, folder)]
+    files = [p.select("path", "raw_content") for p in parts]
+    notes = vault.scan(files[0].unionByName(files[1]).unionByName(files[2]))
     return lint.severity_counts(lint.lint(notes, AS_OF))
 
 
@@ -252,7 +255,15 @@ ORACLE = {
           SELECT path, unnest(CASE WHEN n = 0 THEN ['Open', 'Later'] ELSE ['Later'] END) AS heading
           FROM task_notes)""",
     "front_matter": f"WITH {corpus.PAGE_LINKS} {_FIELDS}",
-    "lint_report": f"""WITH {corpus.PAGE_LINKS},
-        found AS ({_ORPHANS} UNION ALL {_BROKEN} UNION ALL {_FIELDS})
+    "lint_report": f"""WITH {corpus.PAGE_LINKS}, {corpus.DOCUMENT_NOTES}, {corpus.TASK_NOTES},
+        found AS ({_ORPHANS} UNION ALL {_BROKEN} UNION ALL {_FIELDS}
+          UNION ALL SELECT 'info', 'orphan', path, '', '' FROM notes UNION ALL SELECT 'info', 'orphan', path, '', '' FROM task_notes
+          UNION ALL SELECT 'warning', 'stale', path, '', '' FROM notes
+            WHERE CAST(created AS DATE) < DATE '{AS_OF}' - INTERVAL 90 DAY
+          UNION ALL SELECT 'info', 'frontmatter', path, '', '' FROM notes
+          UNION ALL SELECT 'warning', 'frontmatter', path, '', '' FROM task_notes
+          UNION ALL SELECT 'warning', 'empty_section', path, '', '' FROM task_notes WHERE n > 0
+          UNION ALL SELECT 'info', 'empty_section', path, '', '' FROM
+            (SELECT path, unnest(CASE WHEN n = 0 THEN ['Open', 'Later'] ELSE ['Later'] END) FROM task_notes))
         SELECT severity, category, count(*) AS issues FROM found GROUP BY 1, 2""",
 }
