@@ -191,6 +191,14 @@ SPEC_HEADERS = [
     r"(?iU)\bProject\s*[:=]\s*([A-Za-z][\w\-]{1,40})",
 ]
 PROJECT_PREFIX = r"(?U)^@(\w[\w-]*)\s+"
+# What ingest writes into related notes and concept stubs.
+RELATED_BLOCK = "\n\n---\n### 🔗 Related (auto-linked {today})\n- [[{title}]] — see `{path}`\n"
+STUB_NOTE = (
+    '---\nproject: _global\ntype: concept\ntags:\n  - "concept"\n  - "auto-generated"\npriority: low\ncreated: {today}\n'
+    "updated: {today}\n---\n\n# {entity}\n\n(Auto-generated concept stub — enrich during next session)\n\n## References\n"
+    "- First mentioned in: `{project}/{title}`\n"
+)
+RELATED_QUERY_CHARS, RELATED_HITS = 200, 10
 RELATED_MIN_SCORE = 0.3
 RELATED_TOP = 5
 
