@@ -83,3 +83,16 @@ def test_order_decides(spark):
     rules = [(qr.Condition("words", True, 10.0),), (qr.Condition("words", True, 5.0), qr.Condition("words", False, 8.0))]
     rows = spark.range(12).select("id", qr.decision(rules, {"words": F.col("id").cast("double")}).alias("rule")).collect()
     assert [r["rule"] for r in rows] == [None] * 5 + [2] * 3 + [None] * 2 + [1] * 2
+
+
+def test_verdicts_on_labels_that_were_not_learned(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    judged = qr.judged(docs, labels.where(~third)).select("row.doc_id", "base_failed", "kept").join(labels.where(third), "doc_id")
+    rows = judged.groupBy("quality", "base_failed", "kept").count().collect()
+    n = {(r["quality"], r["base_failed"], r["kept"]): r["count"] for r in rows}
+    good, bad = (sum(c for k, c in n.items() if k[0] == q) for q in (1, 0))
+    assert sum(c for k, c in n.items() if k[0] == 0 and not k[2]) / bad > 0.95
+    assert n.get((1, False, False), 0) / good < 0.01  # dropped by a rule and not by the base

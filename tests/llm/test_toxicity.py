@@ -59,3 +59,27 @@ def test_repeated_rows_are_one_training_row(spark, docs):
     labels = spark.createDataFrame([(2, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
     assert sorted((r["doc_id"], r["y"], r["text"]) for r in tx.training_rows(table, labels).collect()) in (
         [(2, 1, "a"), (3, 0, "c")], [(3, 0, "c")], [(2, 1, "a")], [])
+
+
+def plain_hash(gram):
+    """One n-gram's slot, in whole numbers."""
+    odd, mask, h = 0x9E3779B97F4A7C15, (1 << 64) - 1, len(gram)
+    for c in gram:
+        h = (h + ord(c)) * odd & mask
+        h ^= h >> 29
+    return (h * odd & mask) >> (64 - tx.BITS)
+
+
+def test_scores_against_a_plain_scorer_and_recall(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = tx.fit(docs, labels)
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist()))
+    table = tx.scored(docs.join(labels, "doc_id").where(tx.held_out()), model).select("row.doc_id", "row.text", "row.toxic", "score").toPandas()
+    for text, score in zip(table["text"][:120], table["score"][:120]):
+        padded = f" {(text or '').lower()} "
+        grams = {plain_hash(padded[k:k + n]) for n in tx.SIZES for k in range(len(padded) - n + 1)}
+        z = model.intercept + sum(weight.get(g, 0.0) for g in grams)
+        assert abs(score - 1 / (1 + np.exp(-min(max(z, -40), 40)))) < 1e-4
+    toxic = table["toxic"] == 1
+    assert (table["score"][toxic] >= 0.5).mean() > 0.7  # what is missed are texts without shared words
+    assert (table["score"][~toxic] >= 0.5).mean() < 0.01
