@@ -50,17 +50,19 @@ def local_spark(cores: int = 8, app: str = "notespark-local") -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where none is named it is a folder of the warehouse, which a cluster shares too; a session that is
-    one process takes a temporary folder of its own.
+    Where none is named a session that is one process takes a temporary folder of its own; on a cluster
+    that is an error, since no folder is known to be shared.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and (context.master == "local" or context.master.startswith("local[")):
+    if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="notespark-checkpoint-")
-    context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
