@@ -15,9 +15,10 @@ its number of blocks, and every array is bounded by its text.
 
 Fingerprints of different tables agree: they depend on the text alone.
 
-``neighbours`` finds the next document without a global order in one task: ids and hashes are ranked by
-ranges (``notespark.scale``), and documents meet in buckets of ``BUCKET`` ranks, into which the first of
-the next bucket is copied.  Texts are shuffled once.
+``neighbours`` finds the next document without a global order in one task: ids and hashes of texts are cut
+into ranges of about ``BUCKET`` documents, ``MOST_BUCKETS`` ranges at most, whose first keys go to all tasks
+as one row; documents meet in the bucket of their range, into which the first of the next is copied, and are
+ordered there by Spark's sort, which spills.  Texts are shuffled once.
 
 Defined cases: a null text is empty; a text without paragraphs has the empty sketch, likeness 1 to
 another of that kind and 0 to any other; null ids come last, equal ids are ordered by a hash of the text;
@@ -32,8 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from notespark.functions.text import let, once
-from notespark.llm.common import documents, staged
-from notespark.scale import running_sum
+from notespark.llm.common import as_rows, documents, staged
 
 #: Up to three sentences of one line.
 PARAGRAPH = r"(?:[^.!?\n]*+[.!?]++){1,3}|[^.!?\n]++"
@@ -44,7 +44,8 @@ SIZES = (24, 48, 60)
 #: Digests for which a block is meant.
 FIT = 12
 ROUNDS = 12
-BUCKET = 256
+BUCKET = 4096
+MOST_BUCKETS = 1 << 15
 
 _CELL = "struct<n:int,k:bigint,c:bigint>"
 _FOUND = "array<struct<k:bigint,n:int>>"
@@ -197,28 +198,35 @@ def fingerprint(cells: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Each ``row`` with its ``text``, the ``next_text`` in ascending order of ids, the first after the last, and both digests."""
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"),
-        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    order = ["none", "id", "h"]
-    places = rows.select(F.col("id").isNull().alias("none"), "id", "h").distinct()
-    cut = staged(places.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "sketch-places")
-    ranked = running_sum(cut.withColumn("_at", F.struct(*order)), [], "_at", F.lit(1), "at")
-    ranked = staged(ranked.select(F.col("id").alias("id_"), F.col("h").alias("h_"), F.col("at").cast("long").alias("at")), "sketch-ranks")
-    last = ranked.agg(F.coalesce(F.max("at"), F.lit(0)).alias("last")).first()["last"]  # one number
-    placed = rows.join(ranked, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")))
-    place = lambda at, copy: F.struct(F.floor(at / BUCKET).alias("bucket"), at.alias("at"), F.lit(copy).alias("copy"))
-    at = F.col("at")
-    before = F.when(at == 0, F.struct(
-        F.lit(last // BUCKET).cast("long").alias("bucket"), F.lit(last + 1).cast("long").alias("at"), F.lit(True).alias("copy"))).when(
-        at % BUCKET == 0, F.struct((F.floor(at / BUCKET) - 1).alias("bucket"), at.alias("at"), F.lit(True).alias("copy")))
-    dealt = once(placed, digests=digests(F.col("text"))).select(
-        "row", "text", "digests", F.inline(F.array_compact(F.array(place(at, False), before))))
-    following = F.first(F.struct("text", "digests")).over(W.partitionBy("bucket").orderBy("at").rangeBetween(1, 1))
-    slim = dealt.select("bucket", "at", "copy", "text", "digests", F.when(~F.col("copy"), F.col("row")).alias("row"))
-    return slim.withColumn("next", following).where("NOT copy").select(
-        "row", "text", "digests", F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"))
+    """Each ``row`` with its ``text`` and the ``next_text`` in ascending order of ids, the first after the last."""
+    words = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    key = F.struct(F.col(f"row.`{doc_id}`").isNull().alias("none"), F.col(f"row.`{doc_id}`").alias("id"), F.xxhash64(words).alias("h"))
+    rows = as_rows(docs).select("row", key.alias("key"))
+    buckets = min(max(docs.count() // BUCKET, 1), MOST_BUCKETS)
+    ranges = rows.select("key").repartitionByRange(buckets, "key").groupBy(F.spark_partition_id().alias("range")).agg(
+        F.min("key").alias("first"))
+    firsts = F.array_sort(F.collect_list("first"))
+    wide = F.greatest(F.ceil(F.sqrt(F.size(firsts))).cast("int"), F.lit(1))
+    cuts = staged(ranges.agg(firsts.alias("firsts"), wide.alias("wide")).select("wide", "firsts", F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size("firsts") / F.col("wide")).cast("int") - 1, F.lit(0))),
+        lambda i: F.slice("firsts", i * F.col("wide") + 1, F.col("wide"))).alias("groups")), "sketch-cuts")  # one row
+    one = cuts.select(F.struct("wide", "groups", F.size("firsts").alias("n")).alias("cuts")).scalar()
+
+    def place(k: Column, c: Column) -> Column:
+        group = F.size(F.filter(c["groups"], lambda g: g[0] <= k)) - 1
+        return let(group, lambda g: let(
+            F.size(F.filter(c["groups"][g], lambda first: first <= k)) - 1, lambda inside: F.struct(
+                (g * c["wide"] + inside).alias("bucket"), (c["groups"][g][inside] == k).alias("is_first"), c["n"].alias("n"))))
+
+    placed = once(once(rows, cuts=one), place=place(F.col("key"), F.col("cuts"))).select("row", "key", "place.*")
+    at = lambda bucket, wrapped, copy: F.struct(
+        bucket.alias("bucket"), wrapped.alias("wrapped"), F.lit(copy).alias("copy"))
+    before = F.when(F.col("is_first"), at(F.pmod(F.col("bucket") - 1, F.col("n")), F.col("bucket") == 0, True))
+    dealt = placed.select("row", "key", F.inline(F.array_compact(F.array(at(F.col("bucket"), F.lit(False), False), before))))
+    in_order = W.partitionBy("bucket").orderBy("wrapped", "key")
+    ranked = dealt.withColumn("rank", F.dense_rank().over(in_order))
+    following = F.first(words).over(W.partitionBy("bucket").orderBy("rank").rangeBetween(1, 1))
+    return ranked.withColumn("next_text", following).where("NOT copy").select("row", words.alias("text"), "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -236,8 +244,9 @@ def compared(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """
     rows = once(neighbours(docs, text, doc_id), edited=edited(F.col("text"), F.col("next_text")))
     keyed = once(
-        rows, a=F.col("digests"), b=digests(F.col("edited")), c=F.col("next_digests"), n_chars=F.length("text").cast("long"),
-        edited_sha256=F.sha2("edited", 256)).select("row", "a", "b", "c", "n_chars", "edited_sha256")
+        rows, a=digests(F.col("text")), b=digests(F.col("edited")), c=digests(F.col("next_text")),
+        n_chars=F.length("text").cast("long"), edited_sha256=F.sha2("edited", 256)).select(
+        "row", "a", "b", "c", "n_chars", "edited_sha256")
     drawn = once(keyed, cells_a=sketch(F.col("a")), cells_b=sketch(F.col("b")), cells_c=sketch(F.col("c")))
     found = once(
         drawn, changed=difference(*map(F.col, ("a", "cells_a", "b", "cells_b"))),
