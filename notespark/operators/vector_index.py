@@ -33,6 +33,9 @@ SAMPLE = 65_536
 ROUNDS = 10
 NPROBE = 8
 NOWHERE = -1
+PART = 8_192
+CHUNK = 8_192
+PIECE = 512
 DIGITS = 6
 SLACK = 1e-7
 
@@ -95,6 +98,22 @@ def _lists(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray, np.n
     return (np.array([r["_list"] for r in rows], int), np.array([r["center"] for r in rows]), np.array([r["radius"] for r in rows]))
 
 
+def _parts(spark: SparkSession, path: str, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First part and number of parts of each list; small lists share a part, a large one has several."""
+    sizes = {r["_list"]: r["size"] for r in spark.read.parquet(f"{path}/lists").select("_list", "size").collect()}  # MOST_LISTS at most
+    first, count, part, held = [], [], 0, 0
+    for name in names:
+        size = sizes[name]
+        if held and held + size > PART:
+            part, held = part + 1, 0
+        first.append(part)
+        count.append(max(1, -(-size // PART)))
+        held += size
+        if count[-1] > 1:
+            part, held = part + count[-1], 0
+    return np.array(first, int), np.array(count, int)
+
+
 def rows_of(spark: SparkSession, path: str, chosen: Sequence[int]) -> DataFrame:
     """The rows of some lists; other folders are not read."""
     return spark.read.parquet(f"{path}/rows").where(F.col("_list").isin([int(k) for k in chosen])).drop("_far", "_list")
@@ -121,35 +140,74 @@ def search_many(spark: SparkSession, path: str, queries: DataFrame, n: int = 10,
                 nprobe: int = NPROBE, exact: bool = False) -> DataFrame:
     """Best ``n`` rows for each of many queries ``query_id, vector``: ``query_id, rank, key, score``.
 
-    Queries meet rows by list; ties go by key after rounding to ``DIGITS``.
+    Lists are gathered into parts of about ``PART`` rows and queries into chunks of about ``CHUNK``; a part meets
+    a chunk in one task as two matrices, and only the best ``n`` of each query leave it, so no row is made per
+    query and vector.  Ties go by key after rounding to ``DIGITS``.
     """
     names, centers, radius = _lists(spark, path)
-    kind = queries.schema["query_id"].dataType.simpleString()
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString()}
+    stored = spark.read.parquet(f"{path}/rows")
+    kinds[key] = stored.schema[key].dataType.simpleString()
+    first_part, parts = _parts(spark, path, names)
+    chunks = max(1, -(-queries.count() // CHUNK))
 
     def probes(beyond: bool):
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                units, good = _units(frame["vector"])
-                if not len(units) or not len(names):
-                    continue
-                asked = frame[good]
-                apart = _distances(units, centers)
-                rank = np.argsort(np.argsort(apart, axis=1, kind="stable"), axis=1, kind="stable")
-                near = rank < nprobe
-                if beyond:
-                    near = ~near & (apart - radius <= asked["worst"].to_numpy()[:, None] + SLACK)
-                row, at = np.nonzero(near)
-                yield pd.DataFrame({
-                    "query_id": asked["query_id"].to_numpy()[row], "_list": names[at].astype(np.int32), "_q": list(units[row])})
+            for whole in frames:
+                for start in range(0, len(whole), PIECE):
+                    frame = whole[start:start + PIECE]
+                    units, good = _units(frame["vector"])
+                    if not len(units) or not len(names):
+                        continue
+                    asked = frame[good]
+                    apart = _distances(units, centers)
+                    near = np.zeros(apart.shape, bool)
+                    np.put_along_axis(near, np.argsort(apart, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+                    if beyond:
+                        near = ~near & (apart - radius <= asked["worst"].to_numpy()[:, None] + SLACK)
+                    out: list[tuple] = []
+                    for row, query in enumerate(asked["query_id"]):
+                        lists: dict[int, list[int]] = {}
+                        for k in np.nonzero(near[row])[0]:
+                            for part in range(first_part[k], first_part[k] + parts[k]):
+                                lists.setdefault(part, []).append(int(names[k]))
+                        out += [(query, part, units[row], chosen) for part, chosen in lists.items()]
+                    yield pd.DataFrame(out, columns=["query_id", "_part", "_q", "_lists"])
 
         return work
 
-    stored = spark.read.parquet(f"{path}/rows")
+    def best(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": asked["query_id"][:0], key: rows[key][:0], "score": np.zeros(0)})]
+        if len(asked) and len(rows):
+            vectors = np.stack(rows["_v"].to_numpy())
+            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            held, at = np.unique(rows["_list"].to_numpy(), return_inverse=True)
+            for start in range(0, len(asked), PIECE):
+                piece = asked[start:start + PIECE]
+                reach = np.array([np.isin(held, chosen) for chosen in piece["_lists"]])
+                scores = np.round(np.stack(piece["_q"].to_numpy()) @ vectors.T, DIGITS)
+                scores[~reach[:, at]] = -np.inf
+                m = min(n, scores.shape[1])
+                least = np.partition(scores, scores.shape[1] - m, axis=1)[:, scores.shape[1] - m]
+                row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                page = pd.DataFrame({"query_id": piece["query_id"].to_numpy()[row], key: rows[key].to_numpy()[column], "score": scores[row, column]})
+                page = page.sort_values(["query_id", "score", key], ascending=[True, False, True])
+                found.append(page[page.groupby("query_id").cumcount() < n])
+        return pd.concat(found) if len(found) > 1 else found[0]
+
+    where = spark.createDataFrame([(int(k), int(b), int(c)) for k, b, c in zip(names, first_part, parts)], "_list int, _first int, _count int")
+    dealt = stored.join(F.broadcast(where), "_list").select(
+        key, "_list", F.col(vector).cast("array<double>").alias("_v"),
+        (F.col("_first") + F.pmod(F.xxhash64(key), F.col("_count"))).cast("int").alias("_part"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk")) if len(names) else None
 
     def scored(asked: DataFrame, beyond: bool) -> DataFrame:
-        met = asked.mapInPandas(probes(beyond), f"query_id {kind}, _list int, _q array<double>").join(stored, "_list")
-        v = F.col(vector).cast("array<double>")
-        return met.select("query_id", key, F.round(_dot(v, F.col("_q")) / F.sqrt(_dot(v, v)), DIGITS).alias("score"))
+        if dealt is None:
+            return spark.createDataFrame([], f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, score double")
+        sent = asked.mapInPandas(probes(beyond), f"query_id {kinds['query_id']}, _part int, _q array<double>, _lists array<int>").withColumn(
+            "_chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+        met = sent.groupBy("_part", "_chunk").cogroup(dealt.groupBy("_part", "_chunk"))
+        return met.applyInPandas(best, f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, score double")
 
     order = [F.desc("score"), F.col(key)]
     first = cut_lineage(top_per_key(scored(queries.select("query_id", "vector"), False), ["query_id"], order, n).drop("rank"))
