@@ -40,3 +40,30 @@ def test_paths_of_many_pairs(spark):
         nodes = [node for _, node in path]
         assert nodes[0] == source and nodes[-1] == target
         assert all(frozenset(e) in linked for e in zip(nodes, nodes[1:]))
+
+
+def test_pairs_that_meet_beyond_a_hub_do_not_list_its_links(spark):
+    """Pages that link to one of two hubs, and one page to both: the widest layer is not written for each pair."""
+    pages = [f"p{k:03d}" for k in range(80)]
+    edges = [(p, "h0" if k < 40 else "h1") for k, p in enumerate(pages)] + [("p000", "h1")]
+    graph = spark.createDataFrame([(a, b, 1) for a, b in edges], "source string, target string, n long")
+    asked = spark.createDataFrame([(pages[k], pages[k + 40]) for k in range(1, 40)] + [("p001", "p002")], "source string, target string")
+    reached, met = paths._searched(graph, asked)
+    assert {r["length"] for r in met.where("source <> 'p001' OR target <> 'p002'").collect()} == {4}
+    assert reached.count() <= 4 * 40
+    rows = paths.shortest_paths(graph, asked).where("source = 'p005'").orderBy("step").collect()
+    assert [r["node"] for r in rows] == ["p005", "h0", "p000", "h1", "p045"]
+
+
+def test_lengths_are_the_same_without_the_test_of_frontiers(spark, monkeypatch):
+    rnd = random.Random(4)
+    names = [f"n{k:02d}" for k in range(70)]
+    edges = [tuple(rnd.sample(names, 2)) for _ in range(75)] + [("hub", n) for n in names[:40]]
+    pairs = [tuple(rnd.sample(names, 2)) for _ in range(60)]
+    graph = spark.createDataFrame([(a, b, 1) for a, b in edges], "source string, target string, n long")
+    asked = spark.createDataFrame(pairs, "source string, target string")
+    want = {(s, t): brute(edges, s, t) for s, t in pairs if brute(edges, s, t) is not None}
+    for few, tested in ((2, 4096), (32, 3), (32, 0)):
+        monkeypatch.setattr(paths, "FEW_LINKS", few)
+        monkeypatch.setattr(paths, "TESTED", tested)
+        assert {(r.source, r.target): r.length for r in paths.distances(graph, asked).collect()} == want
