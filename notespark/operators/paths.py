@@ -22,7 +22,8 @@ from notespark.session import cut_lineage
 PAIR = ["source", "target"]
 #: Neighbours of a node with more links than this are not paired beforehand.
 FEW_LINKS = 32
-#: Frontiers with more pairs of nodes than this are extended without the test; results are the same.
+#: Frontiers with more pairs of nodes than this are extended without the test; results are the same.  So are
+#: those with more pairs than the end that would be extended has links: there the layer is the lesser work.
 TESTED = 4096
 
 
@@ -39,7 +40,7 @@ def _steps(both: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _tested(open_: DataFrame, sizes: DataFrame, both: DataFrame, near: DataFrame, crowded: DataFrame) -> DataFrame:
     """Pairs whose frontiers are one or two steps apart, by the least such nodes."""
-    small = open_.join(sizes.where(F.col("a") * F.col("b") <= TESTED).select(*PAIR), PAIR, "left_semi")
+    small = open_.join(sizes.where(F.col("a") * F.col("b") <= F.least(F.lit(TESTED), "links_a", "links_b")).select(*PAIR), PAIR, "left_semi")
     sides = [small.where(F.col("side") == side).select(*PAIR, F.col("node").alias(name), F.col("depth").alias(f"_{name}"))
              for side, name in (("from", "a"), ("to", "b"))]
     tried = cut_lineage(sides[0].join(sides[1], PAIR).select(*PAIR, "a", "b", (F.col("_a") + F.col("_b")).alias("deep")))

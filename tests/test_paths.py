@@ -67,3 +67,22 @@ def test_lengths_are_the_same_without_the_test_of_frontiers(spark, monkeypatch):
         monkeypatch.setattr(paths, "FEW_LINKS", few)
         monkeypatch.setattr(paths, "TESTED", tested)
         assert {(r.source, r.target): r.length for r in paths.distances(graph, asked).collect()} == want
+
+
+def test_wide_frontiers_are_not_paired_where_a_layer_is_less_work(spark, monkeypatch):
+    """Two stars of twenty arms, joined at the tip of one: 400 pairs of nodes are not listed to save a layer of 40 links."""
+    edges = [pair for k in range(20) for pair in (("s", f"s{k}"), (f"s{k}", f"x{k}"), (f"x{k}", f"y{k}"),
+                                                 ("t", f"t{k}"), (f"t{k}", f"u{k}"), (f"u{k}", f"v{k}"))] + [("y0", "v0")]
+    graph = spark.createDataFrame([(a, b, 1) for a, b in edges], "source string, target string, n long")
+    tried, cut = [], paths.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if "deep" in out.columns:
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "cut_lineage", counted)
+    rows = paths.shortest_paths(graph, spark.createDataFrame([("s", "t")], "source string, target string")).orderBy("step").collect()
+    assert [r["node"] for r in rows] == ["s", "s0", "x0", "y0", "v0", "u0", "t0", "t"]
+    assert tried and max(tried) <= 40
