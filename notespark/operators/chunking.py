@@ -1,22 +1,47 @@
 """Splitting notes into search chunks.
 
 Where a chunk ends depends on where the one before ended, so cutting a long section is a
-walk through its text.  That walk alone runs in Arrow-batched Python; sections, prefixes and
-numbering are column expressions, and nothing is shuffled.
+walk through its text.  That walk alone runs in Python, over Arrow batches and in bounded memory;
+sections, prefixes and numbering are column expressions, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from notespark import vocab
 from notespark.functions import text as tx
 
 
+#: Characters whose pieces a worker holds before it gives them back.
+FLUSH_CHARS = 2 << 20
+PIECES = pa.list_(pa.list_(pa.string()))
+
+
+def _flushed(batches: Iterator[pa.Array], cut) -> Iterator[pa.Array]:
+    """The pieces of each note's sections, given back every few megabytes.
+
+    A batch comes as Arrow; one note of it at a time is made of Python strings.
+    """
+    for batch in batches:
+        out, held = [], 0
+        for note in batch:
+            sections = note.as_py()
+            out.append([cut(s) for s in sections])
+            held += sum(map(len, sections))
+            if held >= FLUSH_CHARS:
+                yield pa.array(out, PIECES)
+                out, held = [], 0
+        if out:
+            yield pa.array(out, PIECES)
+
+
 def _cutter(size: int, overlap: int):
     def cut(text: str) -> list[str]:
         if len(text) <= size:
@@ -35,9 +60,9 @@ def _cutter(size: int, overlap: int):
                 return pieces
             start = end - overlap
 
-    @pandas_udf(ArrayType(ArrayType(StringType())))
-    def cut_all(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda sections: [cut(s) for s in sections])
+    @arrow_udf(ArrayType(ArrayType(StringType())))
+    def cut_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _flushed(batches, cut)
 
     return cut_all
 
