@@ -464,7 +464,7 @@ def product_files(spark: SparkSession, folder: str) -> DataFrame:
     nations = spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", "n_name")
     c = F.col
     status = _mapped(c("c_mktsegment"), STATUS_OF_SEGMENT, "unknown")
-    return customers.join(nations, c("c_nationkey") == c("n_nationkey")).select(
+    return spread(customers.join(nations, c("c_nationkey") == c("n_nationkey"))).select(
         _text("customer-", c("c_custkey"), "/prd.md").alias("path"),
         _text(
             "---\ntitle: ", c("c_name"), "\nstatus: ", status, "\nstack: [Spark, ", c("n_name"),

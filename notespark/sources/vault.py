@@ -78,7 +78,8 @@ def _plain(value) -> str | None:
 
 # Plain scalars that YAML takes for truth values or null; anything else made of words is text.
 _YAML_WORDS = {"yes", "no", "true", "false", "on", "off", "null", "y", "n"}
-_WORDS = r"[A-Za-z][\w./-]*(?: [\w./-]+)*"
+# A number sign inside a word is part of it; at the head of one it starts a comment.
+_WORDS = r"[A-Za-z][\w./#-]*(?: [\w./-][\w./#-]*)*"
 _FIELD = re.compile(r"([A-Za-z_][\w-]*):(?: +(.*?))? *")
 _ITEM = re.compile(rf" *- +(?:\"([\w ./-]*)\"|({_WORDS})) *")
 _SCALAR = re.compile(rf"{_WORDS}|\d{{4}}-\d\d-\d\d", re.ASCII)
