@@ -31,6 +31,8 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 MERGE = 16
 FLUSH_BYTES = 8 << 20
+#: Rows of a slice of texts up to this size are copied once for all, larger ones one by one.
+SHARED_BYTES = 64 << 10
 #: A window's number: the task above these bits, its count in the task below.
 TASK_BITS = 36
 #: Numbers of merged windows start above those of all tasks.
@@ -104,13 +106,14 @@ def _pack(vocabulary: str, separated: bool, end_id: int, window: int, bound: int
         for batch in batches:
             for i, j in tokens.slices(batch.column(1)):
                 part = batch.slice(i, j - i)
+                rows, shared = _rows(part.column(0))
                 ids, counts = encoder.encode(part.column(1))
                 ids = with_end(ids, counts, end_id).astype("<u4")
                 ends = np.cumsum(counts + 1)
                 for k in range(len(part)):
                     total = int(counts[k]) + 1
                     first = int(ends[k]) - total
-                    row = part.column(0).slice(k, 1)
+                    row = rows.slice(k, 1)
                     for start in range(0, total, window):
                         length = min(window, total - start)
                         raw = ids[first + start:first + start + length].tobytes()
@@ -118,7 +121,7 @@ def _pack(vocabulary: str, separated: bool, end_id: int, window: int, bound: int
                         if length == window:
                             emit([(length, piece)], False)
                         else:
-                            windows.place(length, (_own(row), start, total, raw))
+                            windows.place(length, (row if shared else _own(row), start, total, raw))
                         for done in windows.done:
                             emit(done, False)
                         windows.done.clear()
@@ -132,6 +135,13 @@ def _pack(vocabulary: str, separated: bool, end_id: int, window: int, bound: int
     return work
 
 
+def _rows(rows: pa.Array) -> tuple[pa.Array, bool]:
+    """The rows of a slice, and whether an open window may hold on to all of them: a copy of few bytes."""
+    if rows.nbytes > SHARED_BYTES:
+        return rows, False
+    return rows.take(pa.array(np.arange(len(rows)))), True
+
+
 def _own(row: pa.Array) -> pa.Array:
     """A copy of one row that does not keep its whole batch in memory."""
     return row.take(pa.array([0]))

@@ -29,8 +29,10 @@ KEEP_PIECES = 600_000
 SLICE_BYTES = 6 << 20
 #: A single space between two characters that no reading of "white space" counts as such.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: All characters that ``str.isspace`` counts.
+_SPACE = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
 MARK = "\x01"
-JOINED = 200
+JOINED = 40
 
 
 class Encoder:
@@ -58,8 +60,8 @@ class Encoder:
         elif self.separated:
             alone = {k for k, p in enumerate(pieces) if MARK in p}
         else:
-            alone = {k for k, p in enumerate(pieces) if p[:1] != " " or p[-1:].isspace() or MARK in p}
-        order = [k for k in range(len(pieces)) if k not in alone]
+            alone = {k for k, p in enumerate(pieces) if p[:1] != " " or p[-1] in _SPACE or MARK in p}
+        order = [k for k in range(len(pieces)) if k not in alone] if alone else range(len(pieces))
         texts = [between.join([pieces[k] for k in order[at:at + JOINED]]) for at in range(0, len(order), JOINED)]
         ids: list[int] = []
         for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
