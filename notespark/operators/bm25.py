@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from notespark import vocab
 from notespark.functions import text as tx
+from notespark.session import kept
 from notespark.sources import versions
 
 #: Postings that one task sorts and writes, about.
@@ -82,20 +83,29 @@ def score_scan(docs: DataFrame, query: str, text: str = "text", p: BM25 = BM25()
     """
     counts = Counter(tx.query_tokens(query))
     terms = sorted(counts)
-    profiled = _profile(docs, text, terms)
-    stats = _profile(docs.select(text), text, terms).agg(
+    score = _score(docs, _profile(docs.select(text), text, terms), counts, text, p)
+    scored = _profile(docs, text, terms).withColumn("score", score).where("score > 0")
+    return scored.drop("_len", *_counted(terms))
+
+
+def _counted(terms: list[str]) -> list[str]:
+    return [f"_tf{i}" for i in range(len(terms))]
+
+
+def _score(docs: DataFrame, profiled: DataFrame, counts: Counter, text: str, p: BM25) -> Column:
+    """The score by the columns of :func:`_profile`, with the numbers of all documents as constants."""
+    terms = sorted(counts)
+    stats = profiled.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("len"),
-        *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
+        *[F.count_if(F.col(tf) > 0).alias(tf) for tf in _counted(terms)],
     ).first()
-    df = {t: stats[f"df{i}"] for i, t in enumerate(terms)}
+    df = dict(zip(terms, (stats[tf] for tf in _counted(terms)), strict=True))
     idf = _term_weights(docs, counts, stats["n"], df, text, p)
     score = F.lit(0.0)
-    for i, term in enumerate(terms):
+    for tf, term in zip(_counted(terms), terms, strict=True):
         if term in idf:
-            weight = _weight(F.col(f"_tf{i}"), F.col("_len"), stats["len"], p)
-            score = score + F.lit(counts[term] * idf[term]) * weight
-    scored = profiled.withColumn("score", score).where("score > 0")
-    return scored.drop("_len", *[f"_tf{i}" for i in range(len(terms))])
+            score = score + F.lit(counts[term] * idf[term]) * _weight(F.col(tf), F.col("_len"), stats["len"], p)
+    return score
 
 
 def search(
@@ -109,12 +119,20 @@ def search(
 ) -> DataFrame:
     """Best ``n`` documents for a query.
 
-    Scores are over all documents; ``where`` restricts which of them may be returned.
+    Scores are over all documents; ``where`` restricts which of them may be returned.  Texts are split once:
+    a document's counts are kept beside its key, and the rows of the ``n`` best keys are fetched and scored.
     """
-    scored = score_scan(docs, query, text, p)
-    if where is not None:
-        scored = scored.where(where)
-    return scored.orderBy(F.desc("score"), key).limit(n)
+    counts = Counter(tx.query_tokens(query))
+    terms = sorted(counts)
+    may = F.lit(True) if where is None else where
+    profiled = kept(_profile(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), may.alias("_may")), "_text", terms).drop(
+        "_text"), "bm25-counts")
+    score = _score(docs, profiled, counts, text, p)
+    best = profiled.withColumn("score", score).where("_may AND score > 0").orderBy(F.desc("score"), "_key").limit(n)
+    found = docs.where(may).join(F.broadcast(best.select("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    # keys may repeat, so the rows themselves are scored and cut again
+    scored = _profile(found, text, terms).withColumn("score", score).where("score > 0")
+    return scored.drop("_len", *_counted(terms)).orderBy(F.desc("score"), key).limit(n)
 
 
 # ------------------------------------------------------------------------ stored index

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +77,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder as Parquet, for several reads of some of its columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written copy.
 
