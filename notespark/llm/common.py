@@ -6,6 +6,7 @@ column ``row``, beside its own result columns, so that extra input columns never
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from notespark.session import checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,6 +52,21 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     return reader.parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside sends Arrow batches of ``BATCH_BYTES`` at most, or of one row, to Python.
+
+    A batch lies in memory several times: as it is built and grown, in the worker, and as what is made of it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more, so that its disk is free again."""
     spark = df.sparkSession

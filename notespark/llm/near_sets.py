@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notespark.llm.common import batch_of, staged, task_number
+from notespark.llm.common import batch_of, small_batches, staged, task_number
 from notespark.llm.components import stars
 from notespark.llm.simhash import links as trie_links, majority, shingle_hashes
 
@@ -168,19 +168,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, name = [], None
 
     def packed() -> pa.RecordBatch:
-        return batch_of({
-            "key": pa.array([name[0]], pa.int64()), "salt": pa.array([name[1]], pa.int64()),
-            "numbers": pa.array([[h[0] for h in held]], pa.list_(pa.int64())),
-            "roots": pa.array([[h[1] for h in held]], pa.list_(pa.int64())),
-            "sets": pa.array([[h[2] for h in held]], pa.list_(pa.binary()))})
+        columns = [pa.concat_arrays([part.column(c) for part in held]) for c in (2, 3, 4)]
+        ends = pa.array([0, len(columns[0])], pa.int32())
+        return batch_of({"key": pa.array([name[0]], pa.int64()), "salt": pa.array([name[1]], pa.int64())} | {
+            n: pa.ListArray.from_arrays(ends, column) for n, column in zip(("numbers", "roots", "sets"), columns)})
 
     for batch in batches:
-        for key, salt, *row in zip(*(column.to_pylist() for column in batch.columns)):
-            if name != (key, salt):
+        keys_, salts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        edges = [0, *(np.flatnonzero((keys_[1:] != keys_[:-1]) | (salts[1:] != salts[:-1])) + 1).tolist(), len(batch)]
+        for i, j in zip(edges, edges[1:]):
+            if i == j:
+                continue
+            here = int(keys_[i]), int(salts[i])
+            if name != here:
                 if held:
                     yield packed()
-                held, name = [], (key, salt)
-            held.append(row)
+                held, name = [], here
+            held.append(batch.slice(i, j - i))
     if held:
         yield packed()
 
@@ -190,11 +194,14 @@ def _met(similarity: float):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                split = len(row["numbers"]) if row["numbers_b"] is not None else 0
-                numbers = row["numbers"] + (row["numbers_b"] or [])
-                sets = [np.frombuffer(s, "<u8") for s in row["sets"] + (row["sets_b"] or [])]
-                found = forest(sets, row["roots"] + (row["roots_b"] or []), split, similarity)
+            for k in range(len(batch)):
+                row = {n: column[k] for n, column in zip(batch.schema.names, batch.columns)}
+                both = row["numbers_b"].is_valid
+                numbers, roots = (row[c].as_py() + (row[f"{c}_b"].as_py() if both else []) for c in ("numbers", "roots"))
+                split = len(row["numbers"]) if both else 0
+                # the sets stay where the batch has them
+                sets = [np.frombuffer(s.as_buffer(), "<u8") for c in ("sets", "sets_b")[:1 + both] for s in row[c].values]
+                found = forest(sets, roots, split, similarity)
                 if found:
                     yield batch_of({n: pa.array([numbers[link[k]] for link in found], pa.int64()) for k, n in enumerate("ab")})
 
@@ -232,6 +239,11 @@ def _links_within_keys(rows: DataFrame, apart: DataFrame, text: str, shingle: in
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
                     similarity: float = SIMILARITY) -> DataFrame:
     """One ``row`` of each component of similar texts."""
+    with small_batches(docs.sparkSession):
+        return _representatives(docs, text, doc_id, shingle, similarity)
+
+
+def _representatives(docs: DataFrame, text: str, doc_id: str, shingle: int, similarity: float) -> DataFrame:
     plain = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     rows = staged(plain.mapInArrow(_keyed(shingle), (
