@@ -91,7 +91,9 @@ def facts_probed(spark, folder):
     asked = corpus.table(spark, folder, "events").select(
         F.col("event_id").alias("probe"), F.concat(F.lit("User-"), F.col("user_id")).alias("entity"),
         F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return facts.probed(_facts(spark, folder), asked).select("probe", "entity", "day", "seq", "predicate", "object")
+    # what is asked for of a fact, before its ranges are kept
+    stated = corpus.event_facts(spark, folder).select("seq", "subject", "predicate", "object", "valid_from")
+    return facts.probed(cut_lineage(facts.with_valid_to(stated)), asked).select("probe", "entity", "day", "seq", "predicate", "object")
 
 
 QUERIES = {
