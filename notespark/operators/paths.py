@@ -6,7 +6,8 @@ The test saves the widest layers: pages that all link to a hub are not listed fo
 it.  Common neighbours with few links are written as a table once; those with many are tried by the
 links of one node, and the other node's link is then looked up, so no hub's links are paired.
 
-A pair is done when its ends meet, or an end has nowhere to go.  Layers and the node each was reached
+Pairs whose ends lie in different components are left out before: no path is left to find, and the search would
+list both components for each of them.  A pair is done when its ends meet, or an end has nowhere to go.  Layers and the node each was reached
 from are written to the checkpoint folder, and paths are read off these pointers by joins.  So rounds grow
 with the distance, shared by both ends, and their jobs do not depend on the number of pairs.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notespark.operators.links import undirected
+from notespark.operators.links import components, undirected
 from notespark.session import cut_lineage
 
 PAIR = ["source", "target"]
@@ -38,6 +39,15 @@ def _steps(both: DataFrame) -> tuple[DataFrame, DataFrame]:
             cut_lineage(to.join(crowded, "mid", "left_semi")))
 
 
+def _joined(both: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs whose ends are one node or lie in one component."""
+    parts = cut_lineage(components(both.select(F.col("a").alias("node")).distinct(), both.toDF(*PAIR)))
+    out = pairs.select(*PAIR).where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    for end in PAIR:
+        out = out.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    return out.where("source = target OR _source = _target").select(*PAIR)
+
+
 def _tested(open_: DataFrame, sizes: DataFrame, both: DataFrame, near: DataFrame, crowded: DataFrame) -> DataFrame:
     """Pairs whose frontiers are one or two steps apart, by the least such nodes."""
     small = open_.join(sizes.where(F.col("a") * F.col("b") <= F.least(F.lit(TESTED), "links_a", "links_b")).select(*PAIR), PAIR, "left_semi")
@@ -63,7 +73,7 @@ def _searched(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]
     degrees = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links")))
     ends = F.array(F.struct(F.lit("from").alias("side"), F.col("source").alias("node")),
                    F.struct(F.lit("to").alias("side"), F.col("target").alias("node")))
-    frontier = cut_lineage(pairs.select(*PAIR).where("source IS NOT NULL AND target IS NOT NULL").distinct().select(
+    frontier = cut_lineage(_joined(both, pairs).select(
         *PAIR, F.inline(ends), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("depth")))
     reached = frontier
     met = cut_lineage(frontier.where("side = 'from' AND source = target").select(

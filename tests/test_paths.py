@@ -86,3 +86,14 @@ def test_wide_frontiers_are_not_paired_where_a_layer_is_less_work(spark, monkeyp
     rows = paths.shortest_paths(graph, spark.createDataFrame([("s", "t")], "source string, target string")).orderBy("step").collect()
     assert [r["node"] for r in rows] == ["s", "s0", "x0", "y0", "v0", "u0", "t0", "t"]
     assert tried and max(tried) <= 40
+
+
+def test_pairs_of_different_components_are_not_searched(spark):
+    """Two trees without a link between them: nothing is listed for a pair with an end in each, or with an end that has no links."""
+    edges = [pair for t in "uv" for k in range(6) for pair in [(f"{t}", f"{t}{k}"), *((f"{t}{k}", f"{t}{k}{j}") for j in range(6))]]
+    apart = [(f"u{k}", f"v{k}") for k in range(6)] + [("u", "none"), ("none", "v"), ("none", "other")]
+    near = [("u00", "u55"), ("u", "u"), ("none", "none"), (None, "u"), ("v", None)]
+    graph = spark.createDataFrame([(a, b, 1) for a, b in edges], "source string, target string, n long")
+    reached, met = paths._searched(graph, spark.createDataFrame(apart + near, "source string, target string"))
+    assert {(r["source"], r["target"]) for r in reached.collect()} == {("u00", "u55"), ("u", "u"), ("none", "none")}
+    assert {(r["source"], r["target"]): r["length"] for r in met.collect()} == {("u00", "u55"): 4, ("u", "u"): 0, ("none", "none"): 0}
